@@ -88,3 +88,18 @@ def running_totals(df: DataFrame, order: list[Column], value: Column, within: st
     joined = rows.join(totals, on, "left").select(
         *[rows[c] for c in ranged.columns], (rows["_inner"] + totals["_offset"]).alias("_before"))
     return joined.drop("_v")
+
+
+def keep_rows(docs: DataFrame, id_col: str, key: Column, rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """Of ``docs`` the rows that ``stay(id, key)`` names, one for each name; columns as given.
+
+    ``rows(id, key)`` has the names of all rows.  Rows that share id and key are equal for
+    our purpose; only where a name occurs twice is the sort that picks one of them planned.
+    """
+    stay = cut(stay.select(F.col("id").alias("_stay_id"), F.col("key").alias("_stay_key")))
+    keyed = docs.withColumn("_row_key", key)
+    match = keyed[id_col].cast("long").eqNullSafe(stay["_stay_id"]) & (keyed["_row_key"] == stay["_stay_key"])
+    kept = keyed.join(stay, match, "left_semi")
+    if not rows.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_row_key"])
+    return kept.select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, keep_rows
 from .components import components
 from .tiles import HOME, forest, lay_tiles, run_tiles, stream_tiles
 
@@ -218,9 +218,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     Of rows with one id the one with the smaller text digest stays, of equal rows any
     one; a null id ranks last.
     """
-    found = _grouped(docs, id_col, text_col, width, distance, block)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    stay = cut(found.groupBy("component").agg(first).select(F.col("first.id").alias("_stay_id"), F.col("first.row").alias("_stay_row")))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    match = keyed[id_col].cast("long").eqNullSafe(stay["_stay_id"]) & (keyed["_row_key"] == stay["_stay_row"])
-    return keyed.join(stay, match, "left_semi").dropDuplicates([id_col, "_row_key"]).select(*docs.columns)
+    found = cut(_grouped(docs, id_col, text_col, width, distance, block).withColumnRenamed("row", "key"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    stay = found.groupBy("component").agg(first).select("first.id", "first.key")
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return keep_rows(docs, id_col, key, found, stay)
