@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, line_dedup, mixing, sharding, simhash_dedup, toxicity
+from . import bpe, brown_lm, chat, embedding_dedup, exact_dedup, line_dedup, mixing, sharding, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def lm_scores(docs: DataFrame, **options) -> DataFrame:
+    return brown_lm.score(docs, remainder("doc_id", 7) == 2, **options)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_chat": op4_chat,
     "op5_line_dedup": op5_line_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_dedup": op9_simhash_dedup,
