@@ -1,4 +1,9 @@
-"""A corpus pipeline of operators of ``reticula.llm``: stages over ``documents``."""
+"""A corpus pipeline of operators of ``reticula.llm``: stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its
+result is written as Parquet and read again.  All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reticula.llm import simhash_dedup
+from reticula.llm import bpe, exact_dedup, mixing, queries, simhash_dedup, toxicity
 from reticula.llm.common import cut
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go.  The model learns from labelled rows among ``docs`` that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(queries.remainder("doc_id", 5) != 0)
+    return toxicity.remove_toxic(docs, toxicity.fit(docs, labels))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (white space runs count as one space) the smallest id stays."""
+    return exact_dedup.dedup(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest id."""
     return simhash_dedup.dedup(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents taken for the mix, repeated as often as taken, in training order."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as counts and digests."""
+    return bpe.encode(docs, queries.vocabulary(), digest=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", remove_toxic),
+    ("exact_dedup", exact),
     ("simhash_dedup", near_dedup),
+    ("mixing", mix),
+    ("bpe", encode),
 ]
 
-#: The stages fit models and link fingerprints, which SQL can't express.
+#: The stages fit models and link fingerprints, which SQL can't express; tests hold run()
+#: against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
