@@ -8,9 +8,9 @@ insult).  A clause scores the best path; a document scores by its matched clause
 
 The insults come from the labels.  A pattern is a word, or the beginning of words (4 to 6
 letters, so that derived forms match).  A pattern's evidence is the number of different
-words it follows in toxic texts, so that copies of one toxic text count once; patterns
-enter the lexicon if that evidence could not arise by chance anywhere among all patterns
-seen.  A logistic regression turns clause scores into a probability.
+words it follows in toxic texts (copies of one text count once that way), but at most two
+for each toxic text it is in (so that one long text doesn't count often); patterns
+enter the lexicon if that much evidence is expected for about one of all patterns by chance.  A logistic regression turns clause scores into a probability.
 """
 
 from __future__ import annotations
@@ -186,19 +186,33 @@ def _patterns(text: str) -> Iterator[tuple[str, str]]:
 
 
 def _pattern_kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, word before it in a toxic text), and (pattern, null) with its toxic and clean documents."""
     import xxhash
 
     for batch in batches:
         pairs: set[tuple[str, int]] = set()
-        clean: Counter[str] = Counter()
+        documents: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            found = set(_patterns(text or ""))
+            documents[bool(toxic)].update({p for p, _ in found})
             if toxic:
-                pairs |= {(p, xxhash.xxh32_intdigest(b)) for p, b in _patterns(text or "")}
-            else:
-                clean.update({p for p, _ in _patterns(text or "")})
+                pairs |= {(p, xxhash.xxh32_intdigest(b)) for p, b in found}
+        names = [*documents[0], *documents[1]]
+        clean = [*documents[0].values(), *[0] * len(documents[1])]
+        bad = [*[0] * len(documents[0]), *documents[1].values()]
+        empty = [0] * len(pairs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*(p for p, _ in pairs), *clean]), pa.array([*(b for _, b in pairs), *[None] * len(clean)], pa.int64()), pa.array([*[0] * len(pairs), *clean.values()], pa.int64())],
-            names=["pattern", "before", "clean"])
+            [pa.array([*(p for p, _ in pairs), *names]), pa.array([*(b for _, b in pairs), *[None] * len(names)], pa.int64()), pa.array(empty + bad, pa.int64()), pa.array(empty + clean, pa.int64())],
+            names=["pattern", "before", "bad", "clean"])
+
+
+def lexicon(weights: dict[str, float]) -> dict[str, float]:
+    """Patterns without the stems that some longer pattern clearly beats: those are parts of innocent words too."""
+    best: dict[str, float] = {}
+    for p, w in weights.items():
+        for k in range(4, len(p)):
+            best[p[1:k]] = max(best.get(p[1:k], 0.0), w)
+    return {p: w for p, w in weights.items() if p[0] == "w" or w >= best.get(p[1:], 0.0) - 0.5}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -212,18 +226,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Model({}, {}, (-3.0 if good else 3.0 if bad else -3.0, 0.0, 0.0))
-    seen = sample.mapInArrow(_pattern_kernel, "pattern string, before long, clean long")
-    counts = (seen.groupBy("pattern", "before").agg(F.sum("clean").alias("clean")).groupBy("pattern")
-              .agg(F.count("before").alias("toxic"), F.sum("clean").alias("clean")))
+    seen = sample.mapInArrow(_pattern_kernel, "pattern string, before long, bad long, clean long")
+    counts = (seen.groupBy("pattern", "before").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean")).groupBy("pattern")
+              .agg(F.least(F.count("before"), 2 * F.sum("bad")).alias("toxic"), F.sum("clean").alias("clean")))
     counts = cut(counts)
     share = bad / (bad + good)
-    chance = math.log(max(counts.count(), 1)) + math.log(100)
+    chance = math.log(max(counts.count(), 2))  # about one pattern enters by chance
     t, c = F.col("toxic"), F.col("clean")
     # Log-likelihood ratio against the share of toxic documents: evidence beyond chance over all patterns.
     gain = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
     strong = (counts.where((t >= 3) & (t > 4 * c)).withColumn("gain", gain).where(F.col("gain") >= chance)
               .orderBy(F.desc("gain"), "pattern").limit(MAX_PATTERNS).collect())
-    weight = {r["pattern"]: min(6.0, math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5))) for r in strong}
+    weight = lexicon({r["pattern"]: min(6.0, math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5))) for r in strong})
     model = Model({p[1:]: w for p, w in weight.items() if p[0] == "w"}, {p[1:]: w for p, w in weight.items() if p[0] == "s"})
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
