@@ -66,7 +66,8 @@ def test_mix_targets(spark):
         target[key] = target.get(key, 0) + g.taken
     assert set(target) == {(sizes[s], round(want[s], 6)) for s in sizes}
     for (_, t), taken in target.items():
-        assert abs(taken - t) <= 400
+        assert t - 400 <= taken <= t  # never above, and no more than a document below
+        assert t - taken <= 0.03 * t or t < 2000  # what small documents can fill is filled
     again = mixing.plan(df.repartition(7)).collect()
     assert sorted(map(str, again)) == sorted(map(str, joined))
     mixed = mixing.mix(df)
