@@ -1,62 +1,18 @@
-"""What the operators of this package share: lineage cuts, row numbers, prefix sums."""
+"""What the operators of this package share: prefix sums, choice of rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 #: White space of the contracts: space and the controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, one machine) a folder of our own is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Lineage ends there: a lost executor costs no recomputation of what came
-    before, and values that depend on the physical plan (row ids, partition
-    numbers) are fixed from then on.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reticula/{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that go to Python workers (rows may be long texts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """Partition count for ``rows`` narrow rows, at least the session's."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition), 1)
-
-
-def running_totals(df: DataFrame, order: list[Column], value: Column, within: str | None = None,
-                   per_partition: int = 1_000_000) -> DataFrame:
+def running_totals(df: DataFrame, order: list[Column], value: Column, within: str | None = None) -> DataFrame:
     """Add ``_before``: the total of ``value`` over all earlier rows of the global order.
 
     Rows are range-partitioned by (``within``, ``order``), so that one value of
