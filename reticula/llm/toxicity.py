@@ -218,7 +218,7 @@ def lexicon(weights: dict[str, float]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled rows (``labels``: id, toxic), at most ``sample_rows`` of them in hash order."""
     chosen = (labels.where("toxic is not null").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-              .where("id is not null").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample_rows))
+              .where("id is not null").groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample_rows))
     # At most sample_rows rows of two numbers: small enough for a broadcast by its own bound.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = cut(texts.join(F.broadcast(cut(chosen)), "id"))
