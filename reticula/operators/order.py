@@ -60,6 +60,15 @@ def sparse_table(seq: DataFrame) -> DataFrame:
         out, k = out.union(level), k + 1
 
 
+def all_intervals(seq: DataFrame) -> DataFrame:
+    """(seq_id, lo, hi, val, arg) of every interval: quadratic, for short sequences and tests."""
+    a = seq.select("seq_id", F.col("i").alias("lo"))
+    b = seq.select("seq_id", (F.col("i") + 1).alias("hi"))
+    pairs = a.join(b, "seq_id").where("lo < hi")
+    inside = pairs.join(seq, "seq_id").where("i >= lo and i < hi")
+    return inside.groupBy("seq_id", "lo", "hi").agg(F.min(F.struct("val", "i")).alias("m")).select("seq_id", "lo", "hi", "m.val", F.col("m.i").alias("arg"))
+
+
 def rmq(table: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries (seq_id, lo, hi), half-open -> also ``val`` and ``arg`` (first index of the minimum): two lookups each."""
     q = queries.where("hi > lo").withColumn("level", (F.length(F.bin(F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))) - 1).cast("int"))  # safe before the filter, too

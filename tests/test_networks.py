@@ -123,7 +123,7 @@ def test_rmq_golden(spark):
     arrays = [[1] * 6, [3, 1, 2, 1, 4, 5], [10, 8, 9, 2, 4, 5, 1, 16, 4, 7], [1, 2, 1, 2, 1, 0]]
     seq = spark.createDataFrame([(k, i, v) for k, a in enumerate(arrays) for i, v in enumerate(a)], "seq_id long, i long, val long")
     q = spark.createDataFrame([(k, lo, hi) for k, a in enumerate(arrays) for lo in range(len(a)) for hi in range(lo + 1, len(a) + 1)], "seq_id long, lo long, hi long")
-    for got in (order.rmq(order.sparse_table(seq), q), order.block_rmq(seq, q, 3)):
+    for got in (order.rmq(order.sparse_table(seq), q), order.block_rmq(seq, q, 3), order.all_intervals(seq)):
         rows = got.collect()
         assert len(rows) == q.count()
         for r in rows:
@@ -273,3 +273,17 @@ def test_stream(spark, tmp_path):
     q = run_per_batch(newick_stream(spark, str(tmp_path / "in")), lambda df, k: seen.append(edges_of(df).count()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sum(seen) == 6
+
+
+def test_command_line(tmp_path, capsys):
+    from reticula.__main__ import main
+
+    one, two = tmp_path / "a.nw", tmp_path / "b.txt"
+    one.write_text("((a,b),c);\n(c,(b,a));\n")
+    two.write_text("r x\nr y")
+    assert main(["iso", str(one)]) == 0 and main(["iso", str(one), str(two)]) == 0
+    assert main(["tc", "-v", "-r", "3", "5", "2"]) == 0 and main(["tc", str(one)]) == 0
+    assert main(["scanwidth", str(one)]) == 0 and "scanwidth 1" in capsys.readouterr().out
+    assert main(["gen", "-n", "19", "-r", "2", str(tmp_path / "g.nw")]) == 0 and main(["gen", "-a", "-r", "1", "-l", "3", str(tmp_path / "g.nw")]) == 0
+    assert len((tmp_path / "g.nw").read_text().splitlines()) == 2
+    assert main(["branch-len", str(two)]) == 0 and main(["node-data", str(one)]) == 0
