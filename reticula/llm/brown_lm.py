@@ -32,16 +32,37 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Classes (the last is that of the text's end), exchange sweeps, tokens of a chunk.
-CLASSES, SWEEPS, CHUNK_TOKENS = 64, 3, 2_000_000
+CLASSES, SWEEPS, CHUNK_TOKENS = 64, 3, 4_000_000
 #: Weight of the class distribution in class transitions, in counts.
 PRIOR = 5.0
 #: Bytes of text that are split into words at once.
 SLICE = 4_000_000
 END = " "  # no word has a space
+LAST = 2**31 - 1  # sorts a chunk's texts behind its words
 
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("lid", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("ctx", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64())),
-                     ("uid", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("blob", pa.binary())])
-_CHUNKS_SQL = "chunk long, lid int, word string, n long, ctx array<int>, cnt array<long>, uid array<long>, doc array<long>, held array<boolean>, size array<long>, blob binary"
+#: A chunk's rows: its words, with counts of neighbour classes packed as count * PACK + class;
+#: one row with its texts.  No lists are null: the writer of Arrow batches takes quadratic
+#: time over runs of null lists.
+PACK = 4096
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("lid", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("ctx", pa.list_(pa.int64())), ("texts", pa.binary())])
+_CHUNKS_SQL = "chunk long, lid int, word string, n long, ctx array<long>, texts binary"
+
+
+def _pack_texts(entries: list) -> bytes:
+    """Texts of a chunk: (uid, doc or None, held, word numbers) each."""
+    import zstandard
+
+    numbers = np.array([[e[0], e[1] or 0, e[1] is None, e[2], len(e[3])] for e in entries], dtype=np.int64)
+    return np.int64(len(entries)).tobytes() + numbers.tobytes() + zstandard.ZstdCompressor(level=1).compress(np.concatenate([e[3] for e in entries]).astype(np.int32).tobytes())
+
+
+def _unpack_texts(texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The table (uid, doc, doc is null, held, size) and all word numbers."""
+    import zstandard
+
+    k = int(np.frombuffer(texts[:8], dtype=np.int64)[0])
+    numbers = np.frombuffer(texts[8:8 + 40 * k], dtype=np.int64).reshape(k, 5)
+    return numbers, np.frombuffer(zstandard.ZstdDecompressor().decompress(texts[8 + 40 * k:]), dtype=np.int32)
 
 
 def _slices(text: bytes) -> Iterator[list[bytes]]:
@@ -74,29 +95,28 @@ def _ragged(owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _chunk_kernel(classes: int, chunk_tokens: int):
-    import zstandard
+    width = 2 * classes
 
     def flush(chunk: int, numbers: _Numbers, entries: list) -> Iterator[pa.RecordBatch]:
         words = list(numbers)
-        cls = np.fromiter((_ending(w, classes) for w in words), np.int64, len(words))
+        kind = np.uint32 if len(words) * width < 2**32 else np.uint64
+        cls = np.fromiter((_ending(w, classes) for w in words), kind, len(words))
         cls[0] = classes - 1
-        keys, seen = [], np.zeros(len(words), dtype=np.int64)
+        keys, seen = np.zeros(0, dtype=kind), np.zeros(len(words), dtype=np.int64)
         train = [e[3] for e in entries if not e[2]]
         if train:
-            prev, cur = np.concatenate([e[:-1] for e in train]), np.concatenate([e[1:] for e in train])
+            prev, cur = np.concatenate([e[:-1] for e in train]).astype(kind), np.concatenate([e[1:] for e in train]).astype(kind)
             seen = np.bincount(cur, minlength=len(words))
-            keys = np.concatenate([cur * np.int64(2 * classes) + cls[prev], prev * np.int64(2 * classes) + classes + cls[cur]])
-        keys, counts = np.unique(np.asarray(keys, dtype=np.int64), return_counts=True)
-        offsets = _ragged(keys // (2 * classes), len(words))
-        ctx = pa.ListArray.from_arrays(pa.array(offsets), pa.array((keys % (2 * classes)).astype(np.int32)))
-        cnt = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64)))
+            keys = np.concatenate([cur * kind(width) + cls[prev], prev * kind(width) + kind(classes) + cls[cur]])
+            del prev, cur
+        keys, counts = np.unique(keys, return_counts=True)
+        offsets = _ragged(keys // kind(width), len(words))
+        ctx = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64) * PACK + (keys % kind(width)).astype(np.int64)))
         text = pa.array([w.decode("utf-8") for w in words])
-        none = [pa.nulls(len(words), t) for t in _CHUNKS.types[6:]]
-        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32)), text, pa.array(seen.astype(np.int64)), ctx, cnt, *none], schema=_CHUNKS)
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32)), text, pa.array(seen.astype(np.int64)), ctx, pa.nulls(len(words), pa.binary())], schema=_CHUNKS)
         for at in range(0, len(words), 20_000):
             yield whole.slice(at, 20_000)
-        blob = zstandard.ZstdCompressor(level=1).compress(np.concatenate([e[3] for e in entries]).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "uid": [e[0] for e in entries], "doc": [e[1] for e in entries], "held": [e[2] for e in entries], "size": [len(e[3]) for e in entries], "blob": blob}], schema=_CHUNKS)
+        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "texts": _pack_texts(entries)}], schema=_CHUNKS)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,13 +125,13 @@ def _chunk_kernel(classes: int, chunk_tokens: int):
         numbers, entries, tokens = _Numbers({END.encode(): 0}), [], 0
         for batch in batches:
             for doc, held, text in zip(batch.column("doc").to_pylist(), batch.column("held").to_pylist(), batch.column("text"), strict=True):
-                before = np.zeros(1, dtype=np.int64)
+                before = np.zeros(1, dtype=np.int32)
                 parts = _slices((text.as_py() or "").encode("utf-8").lower())
                 words: list[bytes] | None = next(parts, [])
                 while words is not None:
                     following = next(parts, None)
-                    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                    entry = np.concatenate([before, ids, *([np.zeros(1, np.int64)] if following is None else [])])
+                    ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                    entry = np.concatenate([before, ids, *([np.zeros(1, np.int32)] if following is None else [])])
                     entries.append((uid, doc, held, entry))
                     tokens += len(entry)
                     if tokens >= chunk_tokens:
@@ -119,7 +139,7 @@ def _chunk_kernel(classes: int, chunk_tokens: int):
                         yield from flush(chunk, numbers, entries)
                         chunk, numbers, entries, tokens = chunk + 1, _Numbers({END.encode(): 0}), [], 0
                         # The word before the next part of this text, in the numbers of the new chunk.
-                        before = np.array([numbers[last] if last else 0], dtype=np.int64)
+                        before = np.array([numbers[last] if last else 0], dtype=np.int32)
                     else:
                         before = entry[-1:]
                     words = following
@@ -130,24 +150,23 @@ def _chunk_kernel(classes: int, chunk_tokens: int):
     return kernel
 
 
-def _dense(ctx: pa.ListArray, cnt: pa.ListArray, group: np.ndarray, groups: int, width: int) -> np.ndarray:
-    owner = np.repeat(group, np.diff(ctx.offsets.to_numpy()))
-    at = owner * width + ctx.flatten().to_numpy()
-    return np.bincount(at, weights=cnt.flatten().to_numpy().astype(np.float64), minlength=groups * width).reshape(groups, width)
+def _dense(packed: pa.ListArray, group: np.ndarray, groups: int, width: int) -> np.ndarray:
+    owner = np.repeat(group, np.diff(packed.offsets.to_numpy()))
+    values = packed.flatten().to_numpy()
+    return np.bincount(owner * width + values % PACK, weights=values // PACK, minlength=groups * width).reshape(groups, width)
 
 
 def _word_kernel(classes: int):
     """Rows sorted by word -> one row per word: total count and neighbour classes, and its first class."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("cls", pa.int32()), ("ctx", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64()))])
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("cls", pa.int32()), ("ctx", pa.list_(pa.int64()))])
     width = 2 * classes
 
     def emit(words: list[str], n: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
         row, ctx = np.nonzero(dense)
-        offsets = pa.array(_ragged(row, len(words)))
+        packed = dense[row, ctx].astype(np.int64) * PACK + ctx
         cls = [classes - 1 if w == END else _ending(w.encode("utf-8"), classes) for w in words]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words), pa.array(n), pa.array(cls, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(ctx.astype(np.int32))),
-             pa.ListArray.from_arrays(offsets, pa.array(dense[row, ctx].astype(np.int64)))], schema=schema)
+        lists = pa.ListArray.from_arrays(pa.array(_ragged(row, len(words))), pa.array(packed))
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(cls, pa.int32()), lists], schema=schema)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, n0, row0 = None, 0, None
@@ -159,7 +178,7 @@ def _word_kernel(classes: int):
                 group = np.cumsum(fresh) - 1
                 names = [w for w, f in zip(words, fresh, strict=True) if f]
                 n = np.bincount(group, weights=batch.column("n").to_numpy().astype(np.float64)).astype(np.int64)
-                dense = _dense(batch.column("ctx"), batch.column("cnt"), group, len(names), width)
+                dense = _dense(batch.column("ctx"), group, len(names), width)
                 if names[0] == word:
                     n[0] += n0
                     dense[0] += row0
@@ -189,7 +208,7 @@ def _sweep_kernel(classes: int, logs: np.ndarray | None):
         for big in batches:
             for at in range(0, big.num_rows, 10_000):
                 batch = big.slice(at, 10_000)
-                dense = _dense(batch.column("ctx"), batch.column("cnt"), np.arange(batch.num_rows), batch.num_rows, width)
+                dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, width)
                 cls = batch.column("cls").to_numpy() if logs is None else _assign(dense, batch.column("cls").to_numpy() == classes - 1, logs)
                 one = np.zeros((batch.num_rows, classes), dtype=np.float64)
                 one[np.arange(batch.num_rows), cls] = 1
@@ -207,7 +226,7 @@ def _class_kernel(classes: int, logs: np.ndarray | None):
                 batch = big.slice(at, 10_000)
                 cls = batch.column("cls").to_numpy()
                 if logs is not None:
-                    dense = _dense(batch.column("ctx"), batch.column("cnt"), np.arange(batch.num_rows), batch.num_rows, 2 * classes)
+                    dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, 2 * classes)
                     cls = _assign(dense, cls == classes - 1, logs)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(cls, pa.int32())], names=["word", "n", "cls"])
 
@@ -215,8 +234,8 @@ def _class_kernel(classes: int, logs: np.ndarray | None):
 
 
 def cluster(words: DataFrame, classes: int, sweeps: int) -> DataFrame:
-    """``words`` (word, n, cls, ctx, cnt) -> (word, n, cls) after exchange sweeps."""
-    columns, logs = ["n", "cls", "ctx", "cnt"], None
+    """``words`` (word, n, cls, ctx) -> (word, n, cls) after exchange sweeps."""
+    columns, logs = ["n", "cls", "ctx"], None
     for _ in range(sweeps):
         totals = words.select(*columns).mapInArrow(_sweep_kernel(classes, logs), "cls int, ctx int, total long").groupBy("cls", "ctx").agg(F.sum("total").alias("total"))
         matrix = np.full((classes, 2 * classes), 0.1)
@@ -229,15 +248,13 @@ def cluster(words: DataFrame, classes: int, sweeps: int) -> DataFrame:
 
 def _score_kernel(classes: int, discount: float, class_n: list[float]):
     """Vocabulary rows of a chunk, then its texts -> per text: counts of class pairs and sums of logarithms."""
-    import zstandard
-
     schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("held", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("emit", pa.float64()), ("pair", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64()))])
     side = classes + 1  # the last class: unknown words
     size = np.array([*class_n, 1.0])
 
-    def one(n: np.ndarray, cls: np.ndarray, row: dict) -> Iterator[pa.RecordBatch]:
-        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["blob"]), dtype=np.int32)
-        lengths = np.array(row["size"])
+    def one(n: np.ndarray, cls: np.ndarray, texts: bytes) -> Iterator[pa.RecordBatch]:
+        numbers, ids = _unpack_texts(texts)
+        lengths, held = numbers[:, 4], numbers[:, 3].astype(bool)
         stops = np.cumsum(lengths)
         entry = np.repeat(np.arange(len(lengths)), lengths)
         first = np.zeros(len(ids), dtype=bool)
@@ -254,17 +271,17 @@ def _score_kernel(classes: int, discount: float, class_n: list[float]):
         offsets = pa.array(_ragged(keys // (side * side), k))
         sums = lambda w: pa.array(np.bincount(owner, weights=w, minlength=k))
         whole = pa.RecordBatch.from_arrays(
-            [pa.array(row["uid"], pa.int64()), pa.array(row["doc"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.bincount(owner, minlength=k)), pa.array(np.bincount(owner, weights=known, minlength=k).astype(np.int64)),
+            [pa.array(numbers[:, 0]), pa.array(numbers[:, 1], mask=numbers[:, 2].astype(bool)), pa.array(held), pa.array(np.bincount(owner, minlength=k)), pa.array(np.bincount(owner, weights=known, minlength=k).astype(np.int64)),
              sums(base), sums(emitted), pa.ListArray.from_arrays(offsets, pa.array((keys % (side * side)).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))], schema=schema)
         yield whole
-        train = ~np.array(row["held"])[owner]
+        train = ~held[owner]
         codes, totals = np.unique(pairs[train], return_counts=True)
         yield pa.RecordBatch.from_pylist([{"pair": codes.tolist(), "cnt": totals.tolist()}], schema=schema)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            text = batch.column("blob").is_valid().to_numpy(zero_copy_only=False)
+            text = batch.column("lid").to_numpy() == LAST
             start = 0
             for stop in [*np.flatnonzero(text), batch.num_rows]:
                 if stop > start:
@@ -272,7 +289,7 @@ def _score_kernel(classes: int, discount: float, class_n: list[float]):
                     vocabulary.append((part.column("n").to_numpy().copy(), part.column("cls").to_numpy().astype(np.int64)))
                 if stop < batch.num_rows:
                     n, cls = (np.concatenate(x) for x in zip(*vocabulary, strict=True))
-                    yield from one(n, cls, batch.slice(stop, 1).to_pylist()[0])
+                    yield from one(n, cls, batch.column("texts")[int(stop)].as_py())
                     vocabulary = []
                 start = stop + 1
 
@@ -332,8 +349,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = cut(source.mapInArrow(_chunk_kernel(classes, chunk_tokens), _CHUNKS_SQL))
     spots = chunks.where("word is not null")
-    words = cut(spots.where("size(ctx) > 0").select("word", "n", "ctx", "cnt").repartition(parts, "word").sortWithinPartitions("word")
-                .mapInArrow(_word_kernel(classes), "word string, n long, cls int, ctx array<int>, cnt array<long>"))
+    words = cut(spots.where("size(ctx) > 0").select("word", "n", "ctx").repartition(parts, "word").sortWithinPartitions("word")
+                .mapInArrow(_word_kernel(classes), "word string, n long, cls int, ctx array<long>"))
     found = cut(cluster(words, classes, sweeps))
     stats = found.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()
     class_n, class_words = np.zeros(classes), np.zeros(classes)
@@ -345,9 +362,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     looked_up = (spots.select("chunk", "lid", "word").join(found, "word", "left")
                  .select("chunk", "lid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(classes)).alias("cls")))
-    nothing = lambda *names: [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in names]
-    texts = chunks.where("blob is not null").select("chunk", F.lit(2**31 - 1).alias("lid"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("cls"), "uid", "doc", "held", "size", "blob")
-    together = looked_up.select("*", *nothing("uid", "doc", "held", "size", "blob")).union(texts)
+    texts = chunks.where("texts is not null").select("chunk", F.lit(LAST).alias("lid"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("cls"), "texts")
+    together = looked_up.select("*", F.lit(b"").alias("texts")).union(texts)
     facts = cut(together.repartition(parts, "chunk").sortWithinPartitions("chunk", "lid")
                 .mapInArrow(_score_kernel(classes, discount, class_n.tolist()), "uid long, doc long, held boolean, tokens long, known long, base double, emit double, pair array<int>, cnt array<long>"))
     pairs = (facts.where("uid is null").select(F.arrays_zip("pair", "cnt").alias("z")).select(F.explode("z").alias("z"))
