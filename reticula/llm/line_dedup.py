@@ -7,8 +7,15 @@ Lines are hashed.  A document is cut into chunks of lines where
   * a line is long enough to be a passage by itself.
 Chunks are compared globally by hash, then byte by byte.  A run of adjacent chunks that all
 stood somewhere before (smaller id) is removed if it has at least ``min_words`` words; the
-first occurrence stays.  Documents are cut and looked up by narrow rows of hashes; the text
-is shuffled twice, for the byte comparison and for the removal.
+first occurrence stays.
+
+A repeated passage need not have chunk boundaries at its own ends (its first host may have
+copies, a near copy may be edited beside it).  So the shortest passages of ``min_words`` words
+are compared too: from each line on and up to each line.  Every repeated passage of so many
+words is the union of such ones.  Those that the runs of chunks don't cover are removed as well.
+
+Documents are cut and looked up by narrow rows of hashes; the text is shuffled twice, for
+the byte comparison and for the removal.
 """
 
 from __future__ import annotations
@@ -35,7 +42,11 @@ def _words(line: Column) -> Column:
 
 
 def chunks(docs: DataFrame, min_words: int, window: int, divisor: int) -> DataFrame:
-    """(id, row, lo, hi, words, key) of every chunk: lines lo to hi of a document, ``key`` their hash."""
+    """(id, row, lo, hi, before, upto, passage, words, key) of every chunk and shortest passage.
+
+    Lines lo to hi of a document, ``key`` their hash; the document has ``before`` words ahead
+    of them and ``upto`` words to their end.
+    """
     lines = cut(docs.select("id", "row", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).cast("int").alias("w")))).alias("i", "line"))
                 .select("id", "row", "i", "line.h", "line.w"))
     if not lines.where("i = 0").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
@@ -45,6 +56,7 @@ def chunks(docs: DataFrame, min_words: int, window: int, divisor: int) -> DataFr
               .where("first <> last").select("h", F.xxhash64("first").alias("origin")))
     marked = lines.join(common, "h", "left")
     order = Window.partitionBy("id", "row").orderBy("i")
+    marked = marked.withColumn("upto", F.sum("w").over(order))
     # Stretches of lines that first stood in one document together, or that no other document has.
     change = ~F.col("origin").eqNullSafe(F.lag("origin").over(order)) | F.lag("i").over(order).isNull()
     marked = marked.withColumn("_change", change.cast("int")).withColumn("_stretch", F.sum("_change").over(order)).drop("_change")
@@ -60,29 +72,50 @@ def chunks(docs: DataFrame, min_words: int, window: int, divisor: int) -> DataFr
     inside = F.row_number().over(Window.partitionBy("id", "row", "_chunk").orderBy("i")) - 1
     numbered = numbered.withColumn("_part", F.floor(inside / MAX_LINES))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])  # at most MAX_LINES
-    return (numbered.groupBy("id", "row", "_chunk", "_part")
-            .agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum("w").alias("words"), F.xxhash64(listed).alias("key"))
-            .drop("_chunk", "_part"))
-
-
-def _content(text: Column, lo: Column, hi: Column) -> Column:
-    return F.array_join(F.slice(_lines(text), lo + 1, hi - lo + 1), "\n")
+    cut_up = (numbered.groupBy("id", "row", "_chunk", "_part")
+              .agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min(F.col("upto") - F.col("w")).alias("before"), F.max("upto").alias("upto"),
+                   F.lit(False).alias("passage"), F.sum("w").alias("words"), F.xxhash64(listed).alias("key"))
+              .drop("_chunk", "_part"))
+    return cut_up.union(_passages(lines, min_words))
+
+
+def _passages(lines: DataFrame, min_words: int) -> DataFrame:
+    """Shortest passages of ``min_words`` words from each line on and up to each line, as rows of ``chunks``; blank lines don't count."""
+    doc = Window.partitionBy("id", "row")
+    # Frames hold at most min_words lines, as each has a word.
+    solid = lines.where("w > 0").withColumn("upto", F.sum("w").over(doc.orderBy("i"))).withColumn("before", F.col("upto") - F.col("w"))
+    seen = F.collect_list(F.struct("i", "h", "w", "before", "upto"))
+    both = solid.select("id", "row", seen.over(doc.orderBy("before").rangeBetween(0, min_words - 1)).alias("on"),
+                        seen.over(doc.orderBy("upto").rangeBetween(1 - min_words, 0)).alias("back"))
+    first, last = lambda c: F.element_at(c, 1), lambda c: F.element_at(c, -1)
+    # Those shortest from both ends are listed once.
+    same = last("back")["before"] - first("back")["before"] < min_words
+    listed = both.select("id", "row", F.explode(F.array(F.col("on"), F.when(~same, F.col("back")))).alias("z")).where("z is not null")
+    words = last("z")["upto"] - first("z")["before"]
+    return listed.where(words >= min_words).select(
+        "id", "row", first("z")["i"].alias("lo"), last("z")["i"].alias("hi"), first("z")["before"].alias("before"), last("z")["upto"].alias("upto"),
+        F.lit(True).alias("passage"), words.alias("words"), F.xxhash64(F.col("z.h")).alias("key"))
+
+
+def _content(text: Column, lo: Column, hi: Column, passage: Column) -> Column:
+    lines = F.slice(_lines(text), lo + 1, hi - lo + 1)
+    return F.array_join(F.when(passage, F.filter(lines, lambda x: F.trim(x) != "")).otherwise(lines), "\n")
 
 
 def _same_bytes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of the later occurrences, those that equal the first one of their key byte by byte."""
-    spots = found.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi", "key", "place", "first", "words")).alias("spots"))
+    spots = found.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi", "passage", "key", "place", "first")).alias("spots"))
     texts = docs.join(spots, docs["id"].eqNullSafe(spots["id"]) & (docs["row"] == spots["row"])).select(docs["id"], docs["row"], "text", F.explode("spots").alias("s"))
-    contents = texts.select("s.key", "s.place", "s.first", _content(F.col("text"), F.col("s.lo"), F.col("s.hi")).alias("content"))
-    groups = cut(contents.groupBy("key", "content").agg(F.min("place").alias("least"), F.min("first").alias("first")).select("key", "least", "first", F.sha2("content", 256).alias("_sha")))
-    clash = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    contents = texts.select("s.passage", "s.key", "s.place", "s.first", _content(F.col("text"), F.col("s.lo"), F.col("s.hi"), F.col("s.passage")).alias("content"))
+    groups = cut(contents.groupBy("passage", "key", "content").agg(F.count("*").alias("n")).select("passage", "key", F.sha2("content", 256).alias("_sha")))
+    clash = groups.groupBy("passage", "key").agg(F.count("*").alias("n")).where("n > 1").select("passage", "key")
     later = found.where("place <> first")
     if clash.isEmpty():
         return later
     # Keys with several contents: compare with the first occurrence itself.
-    lead = contents.where("place = first").join(clash, "key", "left_semi").select("key", F.col("content").alias("_lead")).distinct()
-    differ = contents.join(lead, "key").where("content <> _lead").select("place").distinct()
-    return later.join(differ, "place", "left_anti")
+    lead = contents.where("place = first").join(clash, ["passage", "key"], "left_semi").select("passage", "key", F.col("content").alias("_lead")).distinct()
+    differ = contents.join(lead, ["passage", "key"]).where("content <> _lead").select("passage", "place").distinct()
+    return later.join(differ, ["passage", "place"], "left_anti")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
@@ -91,22 +124,38 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.select("id", F.xxhash64("text").alias("row"), "text")
     every = cut(chunks(source, min_words, window, divisor))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "lo")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "lo", "hi")
     every = every.withColumn("place", place)
-    keys = every.where("words > 0").groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = every.join(keys, "key", "left").withColumn("later", F.coalesce(F.col("place") != F.col("first"), F.lit(False)) | (F.col("words") == 0))
-    later = _runs(marked, min_words).where("keep_run").select("id", "row", "lo", "hi", "words", "key", "place", "first")
-    later = cut(later)
+    keys = every.where("words > 0").groupBy("passage", "key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marked = every.join(keys, ["passage", "key"], "left").withColumn("later", F.coalesce(F.col("place") != F.col("first"), F.lit(False)) | (F.col("words") == 0))
+    columns = ["id", "row", "lo", "hi", "before", "upto", "words", "passage", "key", "place", "first"]
+    later = cut(_runs(marked.where("not passage"), min_words).where("keep_run").select(*columns, "run"))
+    # Passages that are repeated, apart from their first occurrence and not inside the runs.
+    apart = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("lo") <= F.col("first.hi")))
+    runs = later.groupBy("id", "row", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("r")
+    rest = marked.where("passage and later").where(apart).select(*columns).alias("p")
+    inside = (F.col("p.id").eqNullSafe(F.col("r.id")) & (F.col("p.row") == F.col("r.row")) & (F.col("p.lo") >= F.col("r.lo")) & (F.col("p.hi") <= F.col("r.hi")))
+    later = cut(later.drop("run").union(rest.join(runs, inside, "left_anti")))
     # The first occurrences of those keys, for the comparison.
-    wanted = later.where("first is not null").select("key").distinct()
-    firsts = marked.where("place = first").join(wanted, "key", "left_semi").select("id", "row", "lo", "hi", "words", "key", "place", "first")
+    wanted = later.where("first is not null").select("passage", "key").distinct()
+    firsts = marked.where("place = first").join(wanted, ["passage", "key"], "left_semi").select(*columns)
     found = cut(later.where("first is not null").union(firsts))
-    checked = _same_bytes(source, found).select("id", "row", "lo", "hi", "words").withColumn("later", F.lit(True))
-    blank = later.where("first is null").select("id", "row", "lo", "hi", "words").withColumn("later", F.lit(True))
+    extent = ["id", "row", "lo", "hi", "before", "upto", "words", "passage"]
+    checked = cut(_same_bytes(source, found).select(*extent))
+    blank = later.where("first is null").select(*extent)
     # Removal after the comparison: runs are found anew, since a chunk may have dropped out.
-    runs = _runs(checked.union(blank), min_words).where("keep_run").groupBy("id", "row", "run").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("words").alias("words"))
-    return runs.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "words"))).alias("spans"))
+    runs = _runs(checked.where("not passage").union(blank).withColumn("later", F.lit(True)), min_words).where("keep_run").groupBy("id", "row", "run").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"), F.max("upto").alias("upto"))
+    return _spans(runs.drop("run").union(checked.where("passage").select("id", "row", "lo", "hi", "before", "upto")))
+
+
+def _spans(ranges: DataFrame) -> DataFrame:
+    """(id, row, spans): ranges of lines that overlap or touch in one."""
+    order = Window.partitionBy("id", "row").orderBy("lo")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = ranges.withColumn("_fresh", F.coalesce(F.col("lo") > reach + 1, F.lit(True)).cast("int")).withColumn("_span", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("id", "row", "_span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.max("upto") - F.min("before")).alias("words"))
+    return merged.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "words"))).alias("spans"))
 
 
 def _runs(marked: DataFrame, min_words: int) -> DataFrame:

@@ -69,3 +69,24 @@ def test_bytes_decide_not_hashes(spark, monkeypatch):
     got = {g.doc_id: g.text for g in line_dedup.dedup_lines(df).collect()}
     # With one key for all, only what equals the first document may go.
     assert {i for i, t in got.items() if not t} == {8}
+
+
+def test_passage_whose_first_host_has_a_copy(spark):
+    n = iter(range(10**6))
+    line = lambda k: " ".join(f"u{next(n)}" for _ in range(k))
+    docs, want = [], {}
+    for g in range(40):
+        passage = [line(12) for _ in range(6)]
+        host = [line(9) for _ in range(5)] + passage + [line(9) for _ in range(5)]
+        own = [line(7), line(7)]
+        edited = [x for k, x in enumerate(host) for x in ([x] if k not in (4, 10) else [x, f"edit{g} {k}"])]
+        for k, d in enumerate((host, [own[0], *passage, own[1]], host, edited)):
+            docs.append((4 * g + k, "\n".join(d)))
+        want[4 * g], want[4 * g + 1] = host, own
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    for i, left in want.items():
+        assert got[i].text == "\n".join(left)
+    assert all(got[i + 1].removed_words == 72 and got[i + 2].text == "" for i in range(0, 160, 4))
+    for i in range(0, 160, 4):  # what the near copy has between its edits
+        assert all(x not in got[i + 3].text for x in want[i][5:11])
