@@ -4,8 +4,8 @@
 
 Every distinct training word belongs to one class.  Clustering starts from classes by word
 ending and then exchanges: in each sweep every word moves to the class that best predicts
-the classes it stood beside (left and right, counted over all training text), with the
-class statistics of the sweep before - the batch form of the exchange algorithm, which has
+the classes it stood beside (left and right, counted over all training text).  Both the
+classes beside and the class statistics are those the sweep before left - the batch form of the exchange algorithm, which has
 no order of words and so runs in parallel.
 
 Smoothing.  Word counts are discounted by D = n1 / (n1 + 2 n2); what a class loses is its
@@ -15,7 +15,7 @@ Class transitions are mixed with the class distribution.
 Data flow.  Texts are cut into chunks of bounded size.  A chunk numbers its own words, and
 keeps its texts as those numbers; only its vocabulary (each word once, with its counts of
 neighbour classes) travels.  Words meet in a sort by word; their classes travel back to the
-chunks.  The driver sees class matrices (classes squared) only.
+chunks, after each sweep too, to count the neighbour classes anew.  The driver sees class matrices (classes squared) only.
 """
 
 from __future__ import annotations
@@ -94,24 +94,28 @@ def _ragged(owner: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
 
 
-def _chunk_kernel(classes: int, chunk_tokens: int):
-    width = 2 * classes
+def _contexts(prev: np.ndarray, cur: np.ndarray, cls: np.ndarray, classes: int) -> pa.ListArray:
+    """Packed counts of neighbour classes for each of a chunk's words (left, then right)."""
+    width, kind = 2 * classes, cls.dtype.type
+    prev, cur = prev.astype(kind), cur.astype(kind)
+    keys, counts = np.unique(np.concatenate([cur * kind(width) + cls[prev], prev * kind(width) + kind(classes) + cls[cur]]), return_counts=True)
+    return pa.ListArray.from_arrays(pa.array(_ragged(keys // kind(width), len(cls))), pa.array(counts.astype(np.int64) * PACK + (keys % kind(width)).astype(np.int64)))
+
 
+def _class_type(words: int, classes: int) -> type:
+    return np.uint32 if words * 2 * classes < 2**32 else np.uint64
+
+
+def _chunk_kernel(classes: int, chunk_tokens: int):
     def flush(chunk: int, numbers: _Numbers, entries: list) -> Iterator[pa.RecordBatch]:
         words = list(numbers)
-        kind = np.uint32 if len(words) * width < 2**32 else np.uint64
-        cls = np.fromiter((_ending(w, classes) for w in words), kind, len(words))
+        cls = np.fromiter((_ending(w, classes) for w in words), _class_type(len(words), classes), len(words))
         cls[0] = classes - 1
-        keys, seen = np.zeros(0, dtype=kind), np.zeros(len(words), dtype=np.int64)
         train = [e[3] for e in entries if not e[2]]
-        if train:
-            prev, cur = np.concatenate([e[:-1] for e in train]).astype(kind), np.concatenate([e[1:] for e in train]).astype(kind)
-            seen = np.bincount(cur, minlength=len(words))
-            keys = np.concatenate([cur * kind(width) + cls[prev], prev * kind(width) + kind(classes) + cls[cur]])
-            del prev, cur
-        keys, counts = np.unique(keys, return_counts=True)
-        offsets = _ragged(keys // kind(width), len(words))
-        ctx = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.astype(np.int64) * PACK + (keys % kind(width)).astype(np.int64)))
+        prev, cur = (np.concatenate([np.zeros(0, dtype=np.int32), *(e[part] for e in train)]) for part in (slice(None, -1), slice(1, None)))
+        seen = np.bincount(cur, minlength=len(words))
+        ctx = _contexts(prev, cur, cls, classes)
+        del prev, cur
         text = pa.array([w.decode("utf-8") for w in words])
         whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32)), text, pa.array(seen.astype(np.int64)), ctx, pa.nulls(len(words), pa.binary())], schema=_CHUNKS)
         for at in range(0, len(words), 20_000):
@@ -157,19 +161,18 @@ def _dense(packed: pa.ListArray, group: np.ndarray, groups: int, width: int) ->
 
 
 def _word_kernel(classes: int):
-    """Rows sorted by word -> one row per word: total count and neighbour classes, and its first class."""
+    """Rows sorted by word -> one row per word: total count and neighbour classes, and its class (its first one if the rows have none)."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("cls", pa.int32()), ("ctx", pa.list_(pa.int64()))])
     width = 2 * classes
 
-    def emit(words: list[str], n: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
+    def emit(words: list[str], n: np.ndarray, cls: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
         row, ctx = np.nonzero(dense)
         packed = dense[row, ctx].astype(np.int64) * PACK + ctx
-        cls = [classes - 1 if w == END else _ending(w.encode("utf-8"), classes) for w in words]
         lists = pa.ListArray.from_arrays(pa.array(_ragged(row, len(words))), pa.array(packed))
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(cls, pa.int32()), lists], schema=schema)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, n0, row0 = None, 0, None
+        word, n0, cls0, row0 = None, 0, 0, None
         for big in batches:
             for at in range(0, big.num_rows, 10_000):
                 batch = big.slice(at, 10_000)
@@ -177,18 +180,22 @@ def _word_kernel(classes: int):
                 fresh = np.array([True, *(a != b for a, b in zip(words, words[1:], strict=False))])
                 group = np.cumsum(fresh) - 1
                 names = [w for w, f in zip(words, fresh, strict=True) if f]
+                if "cls" in batch.schema.names:
+                    cls = batch.column("cls").to_numpy()[fresh]
+                else:
+                    cls = np.array([classes - 1 if w == END else _ending(w.encode("utf-8"), classes) for w in names])
                 n = np.bincount(group, weights=batch.column("n").to_numpy().astype(np.float64)).astype(np.int64)
                 dense = _dense(batch.column("ctx"), group, len(names), width)
                 if names[0] == word:
                     n[0] += n0
                     dense[0] += row0
                 elif word is not None:
-                    yield emit([word], np.array([n0]), row0[None])
+                    yield emit([word], np.array([n0]), np.array([cls0]), row0[None])
                 if len(names) > 1:
-                    yield emit(names[:-1], n[:-1], dense[:-1])
-                word, n0, row0 = names[-1], n[-1], dense[-1]
+                    yield emit(names[:-1], n[:-1], cls[:-1], dense[:-1])
+                word, n0, cls0, row0 = names[-1], n[-1], cls[-1], dense[-1]
         if word is not None:
-            yield emit([word], np.array([n0]), row0[None])
+            yield emit([word], np.array([n0]), np.array([cls0]), row0[None])
 
     return kernel
 
@@ -199,8 +206,8 @@ def _assign(dense: np.ndarray, ends: np.ndarray, logs: np.ndarray) -> np.ndarray
     return cls
 
 
-def _sweep_kernel(classes: int, logs: np.ndarray | None):
-    """Totals (cls, ctx) of neighbour classes by the words' classes under ``logs`` (None: their first ones)."""
+def _sweep_kernel(classes: int):
+    """Totals (cls, ctx) of neighbour classes by the words' classes."""
     width = 2 * classes
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +216,7 @@ def _sweep_kernel(classes: int, logs: np.ndarray | None):
             for at in range(0, big.num_rows, 10_000):
                 batch = big.slice(at, 10_000)
                 dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, width)
-                cls = batch.column("cls").to_numpy() if logs is None else _assign(dense, batch.column("cls").to_numpy() == classes - 1, logs)
+                cls = batch.column("cls").to_numpy()
                 one = np.zeros((batch.num_rows, classes), dtype=np.float64)
                 one[np.arange(batch.num_rows), cls] = 1
                 total += one.T @ dense
@@ -219,31 +226,86 @@ def _sweep_kernel(classes: int, logs: np.ndarray | None):
     return kernel
 
 
-def _class_kernel(classes: int, logs: np.ndarray | None):
+def _class_kernel(classes: int, logs: np.ndarray):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 10_000):
                 batch = big.slice(at, 10_000)
-                cls = batch.column("cls").to_numpy()
-                if logs is not None:
-                    dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, 2 * classes)
-                    cls = _assign(dense, cls == classes - 1, logs)
+                dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, 2 * classes)
+                cls = _assign(dense, batch.column("cls").to_numpy() == classes - 1, logs)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(cls, pa.int32())], names=["word", "n", "cls"])
 
     return kernel
 
 
-def cluster(words: DataFrame, classes: int, sweeps: int) -> DataFrame:
-    """``words`` (word, n, cls, ctx) -> (word, n, cls) after exchange sweeps."""
-    columns, logs = ["n", "cls", "ctx"], None
-    for _ in range(sweeps):
-        totals = words.select(*columns).mapInArrow(_sweep_kernel(classes, logs), "cls int, ctx int, total long").groupBy("cls", "ctx").agg(F.sum("total").alias("total"))
+def _recount_kernel(classes: int):
+    """A chunk's words with their classes, then its texts -> its training words with counts of the classes beside them."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("cls", pa.int32()), ("ctx", pa.list_(pa.int64()))])
+
+    def one(words: pa.Array, cls: np.ndarray, texts: bytes) -> Iterator[pa.RecordBatch]:
+        numbers, ids = _unpack_texts(texts)
+        lengths, train = numbers[:, 4], numbers[:, 3] == 0
+        inner = np.repeat(train, lengths)
+        inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # a token of training text: all but the word before each part
+        at = np.flatnonzero(inner)
+        prev, cur = ids[at - 1], ids[at]
+        ctx = _contexts(prev, cur, cls.astype(_class_type(len(cls), classes)), classes)
+        seen = np.bincount(cur, minlength=len(cls)).astype(np.int64)
+        whole = pa.RecordBatch.from_arrays([words, pa.array(seen), pa.array(cls.astype(np.int32)), ctx], schema=schema)
+        whole = whole.filter(pa.array(np.diff(ctx.offsets.to_numpy()) > 0))
+        for start in range(0, whole.num_rows, 20_000):
+            yield whole.slice(start, 20_000)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: list[tuple[pa.Array, np.ndarray]] = []
+        for batch in batches:
+            start = 0
+            for stop in [*np.flatnonzero(batch.column("lid").to_numpy() == LAST), batch.num_rows]:
+                if stop > start:
+                    part = batch.slice(start, stop - start)
+                    vocabulary.append((part.column("word"), part.column("cls").to_numpy().copy()))
+                if stop < batch.num_rows:
+                    words, cls = zip(*vocabulary, strict=True)
+                    yield from one(pa.concat_arrays(words), np.concatenate(cls), batch.column("texts")[int(stop)].as_py())
+                    vocabulary = []
+                start = stop + 1
+
+    return kernel
+
+
+def _by_word(rows: DataFrame, classes: int) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartition(parts, "word").sortWithinPartitions("word")
+               .mapInArrow(_word_kernel(classes), "word string, n long, cls int, ctx array<long>"))
+
+
+def recount(chunks: DataFrame, found: DataFrame, classes: int) -> DataFrame:
+    """``chunks`` and the classes ``found`` -> words (word, n, cls, ctx) with the neighbour classes of now."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = (chunks.where("word is not null").select("chunk", "lid", "word").join(found.select("word", "cls"), "word", "left")
+             .select("chunk", "lid", "word", F.coalesce("cls", F.lit(0)).alias("cls"), F.lit(b"").alias("texts")))  # no class: not in training text
+    texts = chunks.where("texts is not null").select("chunk", F.lit(LAST).alias("lid"), F.lit("").alias("word"), F.lit(0).alias("cls"), "texts")
+    rows = (named.union(texts).repartition(parts, "chunk").sortWithinPartitions("chunk", "lid")
+            .mapInArrow(_recount_kernel(classes), "word string, n long, cls int, ctx array<long>"))
+    return _by_word(rows, classes)
+
+
+def cluster(chunks: DataFrame, classes: int, sweeps: int) -> DataFrame:
+    """``chunks`` -> (word, n, cls) of the training words after exchange sweeps, each over the classes of the one before."""
+    words = _by_word(chunks.where("word is not null and size(ctx) > 0").select("word", "n", "ctx"), classes)
+    if sweeps == 0:
+        return words.select("word", "n", "cls")
+    for sweep in range(sweeps):
+        if sweep:
+            words = recount(chunks, found, classes)
+        totals = words.select("n", "cls", "ctx").mapInArrow(_sweep_kernel(classes), "cls int, ctx int, total long").groupBy("cls", "ctx").agg(F.sum("total").alias("total"))
         matrix = np.full((classes, 2 * classes), 0.1)
         for r in totals.collect():  # at most 2 * classes^2 rows
             matrix[r["cls"], r["ctx"]] += r["total"]
         left, right = matrix[:, :classes], matrix[:, classes:]
         logs = np.hstack([np.log(left / left.sum(axis=1, keepdims=True)), np.log(right / right.sum(axis=1, keepdims=True))])[:-1].astype(np.float32)
-    return words.mapInArrow(_class_kernel(classes, logs), "word string, n long, cls int")
+        found = cut(words.mapInArrow(_class_kernel(classes, logs), "word string, n long, cls int"))
+    return found
 
 
 def _score_kernel(classes: int, discount: float, class_n: list[float]):
@@ -349,9 +411,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = cut(source.mapInArrow(_chunk_kernel(classes, chunk_tokens), _CHUNKS_SQL))
     spots = chunks.where("word is not null")
-    words = cut(spots.where("size(ctx) > 0").select("word", "n", "ctx").repartition(parts, "word").sortWithinPartitions("word")
-                .mapInArrow(_word_kernel(classes), "word string, n long, cls int, ctx array<long>"))
-    found = cut(cluster(words, classes, sweeps))
+    found = cluster(chunks, classes, sweeps)
     stats = found.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()
     class_n, class_words = np.zeros(classes), np.zeros(classes)
     for r in stats:

@@ -80,3 +80,27 @@ def test_transitions_are_distributions():
     emitted = np.divide(n - 0.6 * v, n, out=np.zeros(k), where=n > 0)  # what known words of a class get
     for row in p:
         assert abs(row[:k] @ emitted + row[k] - 1) < 1e-9
+
+
+def test_neighbour_classes_are_those_of_the_sweep_before(spark):
+    from pyspark.sql import functions as F
+
+    rows, k = corpus(80, 3), 8
+    lists = [[brown_lm.END, *tokens(t)] for _, t in rows]
+    words = sorted({w for x in lists for w in x})
+    cls = {w: k - 1 if w == brown_lm.END else brown_lm._ending(w.encode(), k) for w in words}
+    for _ in range(3):
+        dense = {w: np.zeros(2 * k) for w in words}
+        for x in lists:
+            for a, b in zip(x, x[1:], strict=False):
+                dense[b][cls[a]] += 1
+                dense[a][k + cls[b]] += 1
+        m = np.full((k, 2 * k), 0.1)
+        for w in words:
+            m[cls[w]] += dense[w]
+        logs = np.hstack([np.log(h / h.sum(axis=1, keepdims=True)) for h in (m[:, :k], m[:, k:])])[:-1].astype(np.float32)
+        cls = {w: k - 1 if w == brown_lm.END else int((dense[w].astype(np.float32) @ logs.T).argmax()) for w in words}
+    df = spark.createDataFrame(rows, "doc long, text string").withColumn("held", F.lit(False))
+    for size in (10**6, 100):
+        chunks = brown_lm.cut(df.mapInArrow(brown_lm._chunk_kernel(k, size), brown_lm._CHUNKS_SQL))
+        assert {r.word: r.cls for r in brown_lm.cluster(chunks, k, 3).collect()} == cls
