@@ -3,7 +3,8 @@
 Every source gets a share of the demand by its weight, limited to a multiple of its own
 size.  Documents of a source stand in hash order; a running total of sizes (range
 partitions, prefix sums of partition totals) decides which of them are taken, once or more.
-What the last document that fits leaves open is filled by passes over ever smaller ones.
+What the last document that fits leaves open is filled by passes over ever smaller ones,
+then by the documents no larger than the gap, until none fits.
 The source's weight schedule over training time t in [0, 1] is the density
 g(t) = 1 + tilt * (2t - 1); its integral G(t) = (1 - tilt) t + tilt t^2 says how much of the
 source's words is due by time t.  A document whose words reach the fraction x of the source's
@@ -20,7 +21,7 @@ from .common import WORD_CLASS, cut, running_totals
 WEIGHTS, DEMAND, REPEATS = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Slopes of the weight schedules, by rank of the source: later, even, earlier.
 TILTS = (0.5, 0.0, -0.5)
-#: Passes that fill what is left of a target, each with documents of a quarter of the gap at most.
+#: First passes that fill what is left of a target, with documents of a quarter of the gap at most.
 FILLS = 3
 
 
@@ -85,12 +86,19 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, demand: float =
     placed = cut(placed.withColumn("gap", F.col("target") - F.col("rounds") * F.col("source_size")))
     fits = (F.col("size") > 0) & (F.col("_before") + F.col("size") <= F.col("gap"))
     again = cut(placed.where(fits).select("source", "uid", "size"))
-    for _ in range(FILLS):
+    step = 0
+    while True:
         # A row for each source: what is still open.
         open_ = (sources.alias("s").join(again.groupBy("source").agg(F.sum("size").alias("got")).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left")
                  .select(F.col("s.source").alias("_source"), (F.col("target") - F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0) - F.coalesce("got", F.lit(0))).alias("open")))
         free = (placed.select("source", "id", "row", "uid", "size").join(again.select("uid"), "uid", "left_anti").join(open_, F.col("source").eqNullSafe(F.col("_source")))
-                .where((F.col("size") > 0) & (F.col("size") <= F.col("open") / 4)))
+                .where((F.col("size") > 0) & (F.col("size") <= F.col("open") / (4 if step < FILLS else 1))))
+        step += 1
+        if step > FILLS:
+            # The first in order of those that fit is taken, so each pass takes some while any fits.
+            free = cut(free)
+            if free.isEmpty():
+                break
         more = running_totals(free.select("source", "id", "row", "uid", "size", "open"), order, F.col("size"), within="source")
         again = cut(again.union(more.where(F.col("_before") + F.col("size") <= F.col("open")).select("source", "uid", "size")))
     placed = placed.join(again.select("uid", F.lit(1).alias("again")), "uid", "left").withColumn("copies", (F.col("rounds") + F.coalesce("again", F.lit(0))).cast("long"))

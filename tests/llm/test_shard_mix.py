@@ -82,3 +82,15 @@ def test_position_inverts_the_schedule(spark):
     df = spark.range(101).select((F.col("id") / 100).alias("x")).crossJoin(spark.createDataFrame([(-0.9,), (0.0,), (0.5,)], "tilt double"))
     for r in df.withColumn("t", mixing.position(F.col("x"), F.col("tilt"))).collect():
         assert abs((1 - r.tilt) * r.t + r.tilt * r.t**2 - r.x) < 1e-9
+
+
+def test_no_document_fits_what_is_left_open(spark):
+    r = random.Random(11)
+    data = [(i, " ".join("w" for _ in range(r.randint(200, 1500))), f"s{i % 6}") for i in range(60)]
+    got = mixing.plan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in data}
+    for s in set(source.values()):
+        own = [g for g in got if source[g.doc_id] == s]
+        rounds = own[0].target // own[0].source_size
+        left = own[0].target - sum(g.taken for g in own)
+        assert left >= 0 and all(g.size > left for g in own if g.copies == rounds)
