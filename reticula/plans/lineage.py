@@ -5,29 +5,77 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes a query's shuffle files at its end under this setting; what is cut stands in a table by then.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset a folder of our own is used if driver and executors are one process;
+    on a cluster that is an error, since executors can't see the driver's folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'reticula-checkpoints')}"
+
 
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost no rerun.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost no rerun."""
+    ``by``: a column whose values get folders of their own, so that readers of one value open no other.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reticula/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete at the end what was cut inside: for callers who have written their result by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[tuple, pd.DataFrame], Iterable[tuple]], schema: str) -> DataFrame:

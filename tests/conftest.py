@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -11,10 +13,13 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark():
     from pyspark.sql import SparkSession
 
+    shared = tempfile.mkdtemp(prefix="reticula-tests-")
     s = (SparkSession.builder.master("local[4]").appName("tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", f"file://{shared}")
          .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(shared, ignore_errors=True)
