@@ -5,23 +5,26 @@
 Every distinct training word belongs to one class.  Clustering starts from classes by word
 ending and then exchanges: in each sweep every word moves to the class that best predicts
 the classes it stood beside (left and right, counted over all training text).  Both the
-classes beside and the class statistics are those the sweep before left - the batch form of the exchange algorithm, which has
-no order of words and so runs in parallel.
+classes beside and the class statistics are those the sweep before left - the batch form of
+the exchange algorithm, which has no order of words and so runs in parallel.
 
 Smoothing.  Word counts are discounted by D = n1 / (n1 + 2 n2); what a class loses is its
 chance to emit an unknown word, so known words and "unknown" sum to one after any context.
 Class transitions are mixed with the class distribution.
 
-Data flow.  Texts are cut into chunks of bounded size.  A chunk numbers its own words, and
-keeps its texts as those numbers; only its vocabulary (each word once, with its counts of
-neighbour classes) travels.  Words meet in a sort by word; their classes travel back to the
-chunks, after each sweep too, to count the neighbour classes anew.  The driver sees class matrices (classes squared) only.
+Data flow.  Texts are cut into chunks of bounded size.  A chunk numbers its own words and keeps
+its texts as those numbers.  Words are dealt to parts by hash; the one message of a chunk to a
+part holds all its words there, as a few compressed arrays.  A part knows its words' totals over
+all chunks; it gets counts of neighbour classes from the chunks and sends classes back, once for
+each sweep.  Words themselves travel only once.  The driver sees class matrices (classes
+squared) only, summed by the executors.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,44 +32,82 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import drop
 from .common import cut
 
 #: Classes (the last is that of the text's end), exchange sweeps, tokens of a chunk.
-CLASSES, SWEEPS, CHUNK_TOKENS = 64, 3, 4_000_000
+CLASSES, SWEEPS, CHUNK_TOKENS = 64, 3, 2_000_000
 #: Weight of the class distribution in class transitions, in counts.
 PRIOR = 5.0
 #: Bytes of text that are split into words at once.
-SLICE = 4_000_000
+SLICE = 1_000_000
+#: Neighbour counts that a part gathers before it adds them up, and words whose counts stand side by side.
+GATHER, WORDS_AT_ONCE = 2_000_000, 10_000
 END = " "  # no word has a space
-LAST = 2**31 - 1  # sorts a chunk's texts behind its words
 
-#: A chunk's rows: its words, with counts of neighbour classes packed as count * PACK + class;
-#: one row with its texts.  No lists are null: the writer of Arrow batches takes quadratic
-#: time over runs of null lists.
-PACK = 4096
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("lid", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("ctx", pa.list_(pa.int64())), ("texts", pa.binary())])
-_CHUNKS_SQL = "chunk long, lid int, word string, n long, ctx array<long>, texts binary"
+#: Kinds of messages.  A chunk's texts sort behind the classes of its words, a part's rows before the counts.
+PAIRS, CLASS, TEXTS, ROWS, COUNTS, STATS, SCORED = range(7)
+_MESSAGE = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+_MESSAGE_SQL = "chunk long, part int, kind int, data binary"
 
 
-def _pack_texts(entries: list) -> bytes:
-    """Texts of a chunk: (uid, doc or None, held, word numbers) each."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; integers take as few bytes as their values need."""
     import zstandard
 
-    numbers = np.array([[e[0], e[1] or 0, e[1] is None, e[2], len(e[3])] for e in entries], dtype=np.int64)
-    return np.int64(len(entries)).tobytes() + numbers.tobytes() + zstandard.ZstdCompressor(level=1).compress(np.concatenate([e[3] for e in entries]).astype(np.int32).tobytes())
+    head, body = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+            a = a.astype(np.min_scalar_type(int(a.max())))
+        head.append(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)))
+        # Bytes of equal weight side by side: the high ones are mostly zero.
+        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    return b"".join(head) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
-def _unpack_texts(texts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The table (uid, doc, doc is null, held, size) and all word numbers."""
+def _unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    k = int(np.frombuffer(texts[:8], dtype=np.int64)[0])
-    numbers = np.frombuffer(texts[8:8 + 40 * k], dtype=np.int64).reshape(k, 5)
-    return numbers, np.frombuffer(zstandard.ZstdDecompressor().decompress(texts[8 + 40 * k:]), dtype=np.int32)
+    at, out, start = 1, [], 0
+    kinds = [struct.unpack_from("<2sq", data, 1 + 10 * k) for k in range(data[0])]
+    at += 10 * len(kinds)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at:]), np.uint8)
+    for kind, n in kinds:
+        dtype = np.dtype("<" + kind.decode())
+        stop = start + n * dtype.itemsize
+        a = np.ascontiguousarray(raw[start:stop].reshape(dtype.itemsize, n).T).view(dtype).ravel()
+        out.append(a.astype(np.int64) if dtype == np.uint64 else a)
+        start = stop
+    return out
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    chunk, part, kind, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], schema=_MESSAGE)
+
+
+def _messages(rows: Iterable[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some megabytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3]) + 32
+        if size > 4_000_000:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+    for batch in batches:
+        chunk, part, kind, data = (batch.column(c) for c in ("chunk", "part", "kind", "data"))
+        for i in range(batch.num_rows):
+            yield chunk[i].as_py(), part[i].as_py(), kind[i].as_py(), _unpack(data[i].as_py())
 
 
 def _slices(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a lower-cased text, some megabytes at a time."""
+    """Words of a lower-cased text, a megabyte at a time."""
     at = 0
     while at < len(text):
         stop = len(text)
@@ -89,43 +130,70 @@ class _Numbers(dict):
         return n
 
 
-def _ragged(owner: np.ndarray, n: int) -> np.ndarray:
-    """Offsets of lists 0..n-1 whose elements' owners are sorted."""
-    return np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+# ---- chunks --------------------------------------------------------------------------------
 
+def _train_pairs(ids: np.ndarray, lengths: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words before, and of the tokens, of training text; a text's entry begins with the word before it."""
+    inner = np.repeat(train, lengths)
+    inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    at = np.flatnonzero(inner)
+    return ids[at - 1], ids[at]
 
-def _contexts(prev: np.ndarray, cur: np.ndarray, cls: np.ndarray, classes: int) -> pa.ListArray:
-    """Packed counts of neighbour classes for each of a chunk's words (left, then right)."""
-    width, kind = 2 * classes, cls.dtype.type
-    prev, cur = prev.astype(kind), cur.astype(kind)
-    keys, counts = np.unique(np.concatenate([cur * kind(width) + cls[prev], prev * kind(width) + kind(classes) + cls[cur]]), return_counts=True)
-    return pa.ListArray.from_arrays(pa.array(_ragged(keys // kind(width), len(cls))), pa.array(counts.astype(np.int64) * PACK + (keys % kind(width)).astype(np.int64)))
-
-
-def _class_type(words: int, classes: int) -> type:
-    return np.uint32 if words * 2 * classes < 2**32 else np.uint64
 
+def _neighbours(prev: np.ndarray, cur: np.ndarray, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of neighbour classes (left, then right): how many has each word, which, how often."""
+    width = 2 * classes
+    kind = np.uint32 if len(cls) * width < 2**32 else np.uint64
+    keys, counts = np.zeros(0, kind), np.zeros(0, np.int64)
+    c = cls.astype(kind)
+    for at in range(0, len(cur), 500_000):  # bounded temporary arrays
+        p, w = prev[at: at + 500_000].astype(kind), cur[at: at + 500_000].astype(kind)
+        new, n = np.unique(np.concatenate([w * kind(width) + c[p], p * kind(width) + kind(classes) + c[w]]), return_counts=True)
+        keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([counts, n])).astype(np.int64)
+    return np.bincount((keys // kind(width)).astype(np.int64), minlength=len(cls)), (keys % kind(width)).astype(np.int64), counts
+
+
+def _count(chunk: int, parts: np.ndarray, prev: np.ndarray, cur: np.ndarray, cls: np.ndarray, classes: int, extra=None) -> Iterator[tuple[int, int, int, bytes]]:
+    """A chunk's messages for its words, which stand in order of ``parts``: neighbour classes by part; class pairs of the chunk."""
+    pairs = np.zeros(classes * classes, np.int64)
+    for at in range(0, len(cur), 500_000):
+        pairs += np.bincount(cls[prev[at: at + 500_000]].astype(np.int64) * classes + cls[cur[at: at + 500_000]], minlength=classes * classes)
+    yield chunk, -1, PAIRS, _pack(pairs)
+    many, ctx, counts = _neighbours(prev, cur, cls, classes)
+    starts = np.concatenate([[0], np.cumsum(many)])
+    edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = slice(starts[a], starts[b])
+        yield chunk, int(parts[a]), COUNTS, _pack(*(extra(a, b) if extra else ()), many[a:b], ctx[own], counts[own])
+
+
+def _chunk_kernel(classes: int, chunk_tokens: int, n_parts: int):
+    """Texts (doc, held, text) -> a chunk's texts as numbers, and its words with their counts, by part."""
+    def flush(chunk: int, numbers: _Numbers, entries: list) -> Iterator[tuple[int, int, int, bytes]]:
+        import xxhash
 
-def _chunk_kernel(classes: int, chunk_tokens: int):
-    def flush(chunk: int, numbers: _Numbers, entries: list) -> Iterator[pa.RecordBatch]:
         words = list(numbers)
-        cls = np.fromiter((_ending(w, classes) for w in words), _class_type(len(words), classes), len(words))
+        part = np.fromiter((xxhash.xxh32_intdigest(w) % n_parts for w in words), np.int64, len(words))
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        cls = np.fromiter((_ending(w, classes) for w in words), np.int64, len(words))
         cls[0] = classes - 1
-        train = [e[3] for e in entries if not e[2]]
-        prev, cur = (np.concatenate([np.zeros(0, dtype=np.int32), *(e[part] for e in train)]) for part in (slice(None, -1), slice(1, None)))
-        seen = np.bincount(cur, minlength=len(words))
-        ctx = _contexts(prev, cur, cls, classes)
-        del prev, cur
-        text = pa.array([w.decode("utf-8") for w in words])
-        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.array(np.arange(len(words), dtype=np.int32)), text, pa.array(seen.astype(np.int64)), ctx, pa.nulls(len(words), pa.binary())], schema=_CHUNKS)
-        for at in range(0, len(words), 20_000):
-            yield whole.slice(at, 20_000)
-        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "texts": _pack_texts(entries)}], schema=_CHUNKS)
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [np.array(x, np.int64) for x in zip(*((e[0], e[1] or 0, e[1] is None, e[2], len(e[3])) for e in entries), strict=True)]
+        ids = np.concatenate([e[3] for e in entries])
+        # Numbers by first occurrence: common words have small ones.
+        yield chunk, -1, TEXTS, _pack(order, ids, table[0] - (chunk >> 32 << 40), *table[1:])
+        prev, cur = _train_pairs(ids, table[4], table[3] == 0)
+        seen = np.bincount(cur, minlength=len(words))[order]
+        listed = lambda a, b: (np.frombuffer(b"\n".join(words[i] for i in order[a:b]), np.uint8), seen[a:b])
+        yield from _count(chunk, part[order], rank[prev], rank[cur], cls[order], classes, listed)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
         from pyspark import TaskContext
 
-        chunk, uid = TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        chunk, uid = task << 32, task << 40
         numbers, entries, tokens = _Numbers({END.encode(): 0}), [], 0
         for batch in batches:
             for doc, held, text in zip(batch.column("doc").to_pylist(), batch.column("held").to_pylist(), batch.column("text"), strict=True):
@@ -151,220 +219,212 @@ def _chunk_kernel(classes: int, chunk_tokens: int):
         if entries:
             yield from flush(chunk, numbers, entries)
 
-    return kernel
+    return lambda batches: _messages(rows(batches))
 
 
-def _dense(packed: pa.ListArray, group: np.ndarray, groups: int, width: int) -> np.ndarray:
-    owner = np.repeat(group, np.diff(packed.offsets.to_numpy()))
-    values = packed.flatten().to_numpy()
-    return np.bincount(owner * width + values % PACK, weights=values // PACK, minlength=groups * width).reshape(groups, width)
+def _of_chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Classes of a chunk's words, then its texts -> (chunk, parts, arrays by word of each message, order, texts)."""
+    parts, held = [], []
+    for chunk, part, kind, data in _rows(batches):
+        if kind == CLASS:
+            parts.append(np.full(len(data[0]), part))
+            held.append(data)
+        else:
+            yield chunk, np.concatenate(parts), [np.concatenate(x) for x in zip(*held, strict=True)], data[0], data[1:]
+            parts, held = [], []
 
 
-def _word_kernel(classes: int):
-    """Rows sorted by word -> one row per word: total count and neighbour classes, and its class (its first one if the rows have none)."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("cls", pa.int32()), ("ctx", pa.list_(pa.int64()))])
-    width = 2 * classes
-
-    def emit(words: list[str], n: np.ndarray, cls: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
-        row, ctx = np.nonzero(dense)
-        packed = dense[row, ctx].astype(np.int64) * PACK + ctx
-        lists = pa.ListArray.from_arrays(pa.array(_ragged(row, len(words))), pa.array(packed))
-        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(cls, pa.int32()), lists], schema=schema)
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, n0, cls0, row0 = None, 0, 0, None
-        for big in batches:
-            for at in range(0, big.num_rows, 10_000):
-                batch = big.slice(at, 10_000)
-                words = batch.column("word").to_pylist()
-                fresh = np.array([True, *(a != b for a, b in zip(words, words[1:], strict=False))])
-                group = np.cumsum(fresh) - 1
-                names = [w for w, f in zip(words, fresh, strict=True) if f]
-                if "cls" in batch.schema.names:
-                    cls = batch.column("cls").to_numpy()[fresh]
-                else:
-                    cls = np.array([classes - 1 if w == END else _ending(w.encode("utf-8"), classes) for w in names])
-                n = np.bincount(group, weights=batch.column("n").to_numpy().astype(np.float64)).astype(np.int64)
-                dense = _dense(batch.column("ctx"), group, len(names), width)
-                if names[0] == word:
-                    n[0] += n0
-                    dense[0] += row0
-                elif word is not None:
-                    yield emit([word], np.array([n0]), np.array([cls0]), row0[None])
-                if len(names) > 1:
-                    yield emit(names[:-1], n[:-1], cls[:-1], dense[:-1])
-                word, n0, cls0, row0 = names[-1], n[-1], cls[-1], dense[-1]
-        if word is not None:
-            yield emit([word], np.array([n0]), np.array([cls0]), row0[None])
-
-    return kernel
-
-
-def _assign(dense: np.ndarray, ends: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    cls = (dense.astype(np.float32) @ logs.T).argmax(axis=1)
-    cls[ends] = len(logs)
-    return cls
-
-
-def _sweep_kernel(classes: int):
-    """Totals (cls, ctx) of neighbour classes by the words' classes."""
-    width = 2 * classes
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((classes, width))
-        for big in batches:
-            for at in range(0, big.num_rows, 10_000):
-                batch = big.slice(at, 10_000)
-                dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, width)
-                cls = batch.column("cls").to_numpy()
-                one = np.zeros((batch.num_rows, classes), dtype=np.float64)
-                one[np.arange(batch.num_rows), cls] = 1
-                total += one.T @ dense
-        row, ctx = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ctx.astype(np.int32)), pa.array(total[row, ctx].astype(np.int64))], names=["cls", "ctx", "total"])
-
-    return kernel
-
-
-def _class_kernel(classes: int, logs: np.ndarray):
+def _recount_kernel(classes: int):
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        for chunk, parts, (cls,), order, (ids, _, _, _, held, lengths) in _of_chunk(batches):
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            prev, cur = _train_pairs(ids, lengths, held == 0)
+            yield from _count(chunk, parts, rank[prev], rank[cur], cls.astype(np.int64), classes)
+
+    return lambda batches: _messages(rows(batches))
+
+
+# ---- words ---------------------------------------------------------------------------------
+
+class _Part:
+    """One part of the vocabulary: its words' counts, and neighbour classes as (word * width + class, count), added up now and then."""
+
+    def __init__(self, width: int):
+        self.width, self.keys, self.sums, self.new, self.size = width, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.rows: dict[int, np.ndarray] = {}  # of each chunk's words, in order
+        self.n, self.end = np.zeros(0, np.int64), -1
+
+    def add(self, row: np.ndarray, many: np.ndarray, ctx: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((np.repeat(row, many) * self.width + ctx, counts))
+        self.size += len(ctx)
+        if self.size > GATHER:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, counts = (np.concatenate([old, *x]) for old, x in zip((self.keys, self.sums), zip(*self.new, strict=True), strict=True)) if self.new else (self.keys, self.sums)
+        self.keys, where = np.unique(keys, return_inverse=True)
+        self.sums = np.bincount(where, weights=counts, minlength=len(self.keys)).astype(np.int64)
+        self.new, self.size = [], 0
+
+    def classes(self, logs: np.ndarray) -> np.ndarray:
+        """The best class of each word; that of words without training text: one behind all."""
+        self.settle()
+        k = len(logs) + 1
+        cls = np.full(len(self.n), k)
+        for a in range(0, len(self.n), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(self.n))
+            i, j = np.searchsorted(self.keys, [a * self.width, b * self.width])
+            dense = np.bincount(self.keys[i:j] - a * self.width, weights=self.sums[i:j], minlength=(b - a) * self.width).reshape(b - a, -1)
+            # Rounded: equal scores stay equal whatever the order of the sums.
+            cls[a:b] = np.round(dense @ logs.T, 6).argmax(axis=1)
+        if self.end >= 0:
+            cls[self.end] = k - 1
+        return np.where(self.n > 0, cls, k)
+
+
+def _word_kernel(classes: int, logs: np.ndarray | None, last: bool):
+    """A part's words (first sweep), or its rows and counts -> the classes of every chunk's words there.
+
+    ``logs`` None: words stay in the classes of their endings.  The last sweep also sends the words' counts, and sums by class.
+    """
+    def close(part: int, p: _Part, endings: list[int] | None) -> Iterator[tuple[int, int, int, bytes]]:
+        if logs is None:
+            cls = np.where(p.n > 0, endings, classes)
+        else:
+            cls = p.classes(logs)
+        if endings is not None and not last:
+            yield -1, part, ROWS, _pack(p.n, np.array([p.end + 1]))
+        for chunk, row in p.rows.items():
+            if endings is not None and not last:
+                yield chunk, part, ROWS, _pack(row)
+            yield chunk, part, CLASS, _pack(cls[row], p.n[row]) if last else _pack(cls[row])
+        if last:
+            known = p.n > 0
+            by = lambda w=None: np.bincount(cls[known], weights=w, minlength=classes).astype(np.int64)
+            yield -1, part, STATS, _pack(np.concatenate([by(p.n[known]), by(), [(p.n == 1).sum(), (p.n == 2).sum()]]))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        now, p, numbers, endings = None, None, None, None
+        for chunk, part, kind, data in _rows(batches):
+            if part != now:
+                if p is not None:
+                    yield from close(now, p, endings)
+                now, p, numbers, endings = part, _Part(2 * classes), None, None
+            if kind == ROWS and chunk < 0:
+                p.n, p.end = data[0].astype(np.int64), int(data[1][0]) - 1
+            elif kind == ROWS:
+                p.rows[chunk] = data[0].astype(np.int64)
+            elif len(data) == 5:
+                if numbers is None:
+                    numbers, endings = _Numbers(), []
+                words = data[0].tobytes().split(b"\n")
+                row = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                for w in list(numbers)[len(endings):]:
+                    endings.append(classes - 1 if w == END.encode() else _ending(w, classes))
+                    if w == END.encode():
+                        p.end = len(endings) - 1
+                p.n = np.concatenate([p.n, np.zeros(len(endings) - len(p.n), np.int64)])
+                p.n[row] += data[1]  # no word twice
+                p.rows[chunk] = row
+                p.add(row, *data[2:])
+            else:
+                p.add(p.rows[chunk], *data)
+        if p is not None:
+            yield from close(now, p, endings)
+
+    return lambda batches: _messages(rows(batches))
+
+
+# ---- rounds --------------------------------------------------------------------------------
+
+def _total(messages: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays of all messages, added up by the executors; the driver gets ``size`` numbers."""
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 10_000):
-                batch = big.slice(at, 10_000)
-                dense = _dense(batch.column("ctx"), np.arange(batch.num_rows), batch.num_rows, 2 * classes)
-                cls = _assign(dense, batch.column("cls").to_numpy() == classes - 1, logs)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(cls, pa.int32())], names=["word", "n", "cls"])
-
-    return kernel
-
+        total = np.zeros(size, np.int64)
+        for *_, data in _rows(batches):
+            total += data[0].astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-def _recount_kernel(classes: int):
-    """A chunk's words with their classes, then its texts -> its training words with counts of the classes beside them."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("cls", pa.int32()), ("ctx", pa.list_(pa.int64()))])
-
-    def one(words: pa.Array, cls: np.ndarray, texts: bytes) -> Iterator[pa.RecordBatch]:
-        numbers, ids = _unpack_texts(texts)
-        lengths, train = numbers[:, 4], numbers[:, 3] == 0
-        inner = np.repeat(train, lengths)
-        inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # a token of training text: all but the word before each part
-        at = np.flatnonzero(inner)
-        prev, cur = ids[at - 1], ids[at]
-        ctx = _contexts(prev, cur, cls.astype(_class_type(len(cls), classes)), classes)
-        seen = np.bincount(cur, minlength=len(cls)).astype(np.int64)
-        whole = pa.RecordBatch.from_arrays([words, pa.array(seen), pa.array(cls.astype(np.int32)), ctx], schema=schema)
-        whole = whole.filter(pa.array(np.diff(ctx.offsets.to_numpy()) > 0))
-        for start in range(0, whole.num_rows, 20_000):
-            yield whole.slice(start, 20_000)
+    out = np.zeros(size)
+    for r in messages.mapInArrow(kernel, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out
 
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: list[tuple[pa.Array, np.ndarray]] = []
-        for batch in batches:
-            start = 0
-            for stop in [*np.flatnonzero(batch.column("lid").to_numpy() == LAST), batch.num_rows]:
-                if stop > start:
-                    part = batch.slice(start, stop - start)
-                    vocabulary.append((part.column("word"), part.column("cls").to_numpy().copy()))
-                if stop < batch.num_rows:
-                    words, cls = zip(*vocabulary, strict=True)
-                    yield from one(pa.concat_arrays(words), np.concatenate(cls), batch.column("texts")[int(stop)].as_py())
-                    vocabulary = []
-                start = stop + 1
 
-    return kernel
+def _parts(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _by_word(rows: DataFrame, classes: int) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartition(parts, "word").sortWithinPartitions("word")
-               .mapInArrow(_word_kernel(classes), "word string, n long, cls int, ctx array<long>"))
+def _to_chunks(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes of its words, by part, and its texts, for every chunk."""
+    both = found.where(F.col("kind") == CLASS).union(chunks.where(F.col("kind") == TEXTS).select(*found.columns))
+    return both.repartition(_parts(both.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "part")
 
 
-def recount(chunks: DataFrame, found: DataFrame, classes: int) -> DataFrame:
-    """``chunks`` and the classes ``found`` -> words (word, n, cls, ctx) with the neighbour classes of now."""
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = (chunks.where("word is not null").select("chunk", "lid", "word").join(found.select("word", "cls"), "word", "left")
-             .select("chunk", "lid", "word", F.coalesce("cls", F.lit(0)).alias("cls"), F.lit(b"").alias("texts")))  # no class: not in training text
-    texts = chunks.where("texts is not null").select("chunk", F.lit(LAST).alias("lid"), F.lit("").alias("word"), F.lit(0).alias("cls"), "texts")
-    rows = (named.union(texts).repartition(parts, "chunk").sortWithinPartitions("chunk", "lid")
-            .mapInArrow(_recount_kernel(classes), "word string, n long, cls int, ctx array<long>"))
-    return _by_word(rows, classes)
+def chunked(source: DataFrame, classes: int, chunk_tokens: int) -> DataFrame:
+    """``source`` (doc, held, text) -> messages of its chunks."""
+    return cut(source.mapInArrow(_chunk_kernel(classes, chunk_tokens, _parts(source.sparkSession)), _MESSAGE_SQL), by="kind")
 
 
 def cluster(chunks: DataFrame, classes: int, sweeps: int) -> DataFrame:
-    """``chunks`` -> (word, n, cls) of the training words after exchange sweeps, each over the classes of the one before."""
-    words = _by_word(chunks.where("word is not null and size(ctx) > 0").select("word", "n", "ctx"), classes)
-    if sweeps == 0:
-        return words.select("word", "n", "cls")
-    for sweep in range(sweeps):
-        if sweep:
-            words = recount(chunks, found, classes)
-        totals = words.select("n", "cls", "ctx").mapInArrow(_sweep_kernel(classes), "cls int, ctx int, total long").groupBy("cls", "ctx").agg(F.sum("total").alias("total"))
-        matrix = np.full((classes, 2 * classes), 0.1)
-        for r in totals.collect():  # at most 2 * classes^2 rows
-            matrix[r["cls"], r["ctx"]] += r["total"]
-        left, right = matrix[:, :classes], matrix[:, classes:]
-        logs = np.hstack([np.log(left / left.sum(axis=1, keepdims=True)), np.log(right / right.sum(axis=1, keepdims=True))])[:-1].astype(np.float32)
-        found = cut(words.mapInArrow(_class_kernel(classes, logs), "word string, n long, cls int"))
+    """Exchange sweeps, each over the classes of the one before -> messages with class and count of every chunk's words, and sums by class."""
+    n, counted, rows = _parts(chunks.sparkSession), chunks, None
+    for sweep in range(max(sweeps, 1)):
+        last, logs = sweep >= sweeps - 1, None
+        if sweeps:
+            right = _total(counted.where(F.col("kind") == PAIRS), classes * classes).reshape(classes, classes) + 0.1
+            left = right.T
+            logs = np.hstack([np.log(left / left.sum(axis=1, keepdims=True)), np.log(right / right.sum(axis=1, keepdims=True))])[:-1]
+        messages = counted.where(F.col("kind") == COUNTS)
+        if rows is not None:
+            messages = messages.union(rows.where(F.col("kind") == ROWS))
+        # Parts are as many as partitions, and even by the hash of their words.
+        dealt = messages.repartitionById(n, F.col("part")).sortWithinPartitions("part", "chunk", "kind")
+        found = cut(dealt.mapInArrow(_word_kernel(classes, logs, last), _MESSAGE_SQL), by="kind")
+        if counted is not chunks:
+            drop(counted)
+        if last:
+            break
+        counted = cut(_to_chunks(chunks, found).mapInArrow(_recount_kernel(classes), _MESSAGE_SQL), by="kind")
+        if rows is None:
+            rows = found
+        else:
+            drop(found)
+    if rows is not None:
+        drop(rows)
     return found
 
 
 def _score_kernel(classes: int, discount: float, class_n: list[float]):
-    """Vocabulary rows of a chunk, then its texts -> per text: counts of class pairs and sums of logarithms."""
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("held", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("emit", pa.float64()), ("pair", pa.list_(pa.int32())), ("cnt", pa.list_(pa.int64()))])
-    side = classes + 1  # the last class: unknown words
+    """A chunk's texts with all but the class transitions, and their classes; class pairs of training text."""
     size = np.array([*class_n, 1.0])
 
-    def one(n: np.ndarray, cls: np.ndarray, texts: bytes) -> Iterator[pa.RecordBatch]:
-        numbers, ids = _unpack_texts(texts)
-        lengths, held = numbers[:, 4], numbers[:, 3].astype(bool)
-        stops = np.cumsum(lengths)
-        entry = np.repeat(np.arange(len(lengths)), lengths)
-        first = np.zeros(len(ids), dtype=bool)
-        first[stops - lengths] = True
-        at = np.flatnonzero(~first)  # a token: all but the word before each part
-        token, owner = ids[at], entry[at]
-        count, of = n[token], cls[token]
-        known = count > 0
-        base = np.log10(count + 1.0)
-        emitted = np.where(known, np.log10(np.maximum(count - discount, 1e-12) / size[of]), 0.0)
-        pairs = cls[ids[at - 1]] * side + of
-        k = len(lengths)
-        keys, counts = np.unique(owner * np.int64(side * side) + pairs, return_counts=True)
-        offsets = pa.array(_ragged(keys // (side * side), k))
-        sums = lambda w: pa.array(np.bincount(owner, weights=w, minlength=k))
-        whole = pa.RecordBatch.from_arrays(
-            [pa.array(numbers[:, 0]), pa.array(numbers[:, 1], mask=numbers[:, 2].astype(bool)), pa.array(held), pa.array(np.bincount(owner, minlength=k)), pa.array(np.bincount(owner, weights=known, minlength=k).astype(np.int64)),
-             sums(base), sums(emitted), pa.ListArray.from_arrays(offsets, pa.array((keys % (side * side)).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))], schema=schema)
-        yield whole
-        train = ~held[owner]
-        codes, totals = np.unique(pairs[train], return_counts=True)
-        yield pa.RecordBatch.from_pylist([{"pair": codes.tolist(), "cnt": totals.tolist()}], schema=schema)
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        for chunk, _, (cls, n), order, (ids, uid, doc, none, held, lengths) in _of_chunk(batches):
+            count, of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            count[order], of[order] = n, cls
+            known = count > 0
+            emitted = np.where(known, np.log10(np.maximum(count - discount, 1e-12) / np.maximum(size[of], 1.0)), 0.0)
+            starts = np.cumsum(lengths.astype(np.int64)) - lengths
 
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            text = batch.column("lid").to_numpy() == LAST
-            start = 0
-            for stop in [*np.flatnonzero(text), batch.num_rows]:
-                if stop > start:
-                    part = batch.slice(start, stop - start)
-                    vocabulary.append((part.column("n").to_numpy().copy(), part.column("cls").to_numpy().astype(np.int64)))
-                if stop < batch.num_rows:
-                    n, cls = (np.concatenate(x) for x in zip(*vocabulary, strict=True))
-                    yield from one(n, cls, batch.column("texts")[int(stop)].as_py())
-                    vocabulary = []
-                start = stop + 1
+            def sums(by_word: np.ndarray) -> np.ndarray:  # over the tokens of each entry: all but the word before
+                values = by_word[ids]
+                values[starts] = 0
+                return np.add.reduceat(values, starts)
 
-    return kernel
+            prev, cur = _train_pairs(ids, lengths, held == 0)
+            yield chunk, -1, PAIRS, _pack(np.bincount(of[prev] * classes + of[cur], minlength=classes * classes))
+            yield chunk, -1, SCORED, _pack(uid.astype(np.int64) + (chunk >> 32 << 40), doc, none, held, lengths, sums(known.astype(np.int64)), sums(np.log10(count + 1.0)), sums(emitted), of[ids])
+
+    return lambda batches: _messages(rows(batches))
 
 
-def transitions(pairs: dict[int, int], classes: int, class_n: np.ndarray, class_words: np.ndarray, discount: float) -> np.ndarray:
-    """log10 of the chance of each class (the last: an unknown word) after each class."""
+def transitions(seen: np.ndarray, class_n: np.ndarray, class_words: np.ndarray, discount: float) -> np.ndarray:
+    """log10 of the chance of each class (the last: an unknown word) after each class, from counts of class pairs."""
+    classes = len(class_n)
     side = classes + 1
-    seen = np.zeros((classes, classes))
-    for code, count in pairs.items():
-        if code // side < classes and code % side < classes:
-            seen[code // side, code % side] = count
     total = class_n.sum()
     if total == 0:  # nothing learned: every word is unknown
         return np.zeros((side, side))
@@ -380,15 +440,14 @@ def transitions(pairs: dict[int, int], classes: int, class_n: np.ndarray, class_
 
 
 def _final_kernel(table: np.ndarray):
-    flat = table.ravel()
-
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair, cnt = batch.column("pair"), batch.column("cnt")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(pair.offsets.to_numpy()))
-            moved = np.bincount(owner, weights=flat[pair.flatten().to_numpy()] * cnt.flatten().to_numpy(), minlength=batch.num_rows)
-            score = pa.array(moved + batch.column("emit").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "doc", "held", "tokens", "known", "base")), score], names=["uid", "doc", "held", "tokens", "known", "base", "score"])
+        for *_, (uid, doc, none, held, lengths, known, base, emitted, seq) in _rows(batches):
+            starts = np.cumsum(lengths.astype(np.int64)) - lengths
+            moved = np.concatenate([[0.0], table[seq[:-1], seq[1:]]])
+            moved[starts] = 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uid, pa.int64()), pa.array(doc.astype(np.int64), mask=none.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths.astype(np.int64) - 1),
+                 pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.add.reduceat(moved, starts) + emitted)], names=["uid", "doc", "held", "tokens", "known", "base", "score"])
 
     return kernel
 
@@ -400,36 +459,25 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     Returns the id, ``held_out``, ``n_tokens`` and ``n_known`` (words and one end), ``train_tokens``,
     ``base_score`` (add-one unigrams) and ``score`` (the class model), both log10.
 
-    Cases: null text counts as empty: one token, its end.  A null ``held_out`` counts as
+    Cases: null and empty texts have one token, their end; a text of any length is read in slices.
+    An empty table gives no rows.  A null ``held_out`` counts as
     false.  Repeated rows and null ids give a row each.  Without training texts every token
     is unknown and both scores are 0.  Other columns are ignored.
     """
     if classes < 2 or classes > 1000:
         raise ValueError("classes must be 2 to 1000")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = cut(source.mapInArrow(_chunk_kernel(classes, chunk_tokens), _CHUNKS_SQL))
-    spots = chunks.where("word is not null")
+    chunks = chunked(source, classes, chunk_tokens)
     found = cluster(chunks, classes, sweeps)
-    stats = found.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()
-    class_n, class_words = np.zeros(classes), np.zeros(classes)
-    for r in stats:
-        class_n[r["cls"]], class_words[r["cls"]] = r["n"], r["v"]
-    n1, n2 = sum(r["n1"] for r in stats), sum(r["n2"] for r in stats)
+    stats = _total(found.where(F.col("kind") == STATS), 2 * classes + 2)
+    class_n, class_words, (n1, n2) = stats[:classes], stats[classes:-2], stats[-2:]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     total, distinct = int(class_n.sum()), int(class_words.sum())
-
-    looked_up = (spots.select("chunk", "lid", "word").join(found, "word", "left")
-                 .select("chunk", "lid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(classes)).alias("cls")))
-    texts = chunks.where("texts is not null").select("chunk", F.lit(LAST).alias("lid"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("cls"), "texts")
-    together = looked_up.select("*", F.lit(b"").alias("texts")).union(texts)
-    facts = cut(together.repartition(parts, "chunk").sortWithinPartitions("chunk", "lid")
-                .mapInArrow(_score_kernel(classes, discount, class_n.tolist()), "uid long, doc long, held boolean, tokens long, known long, base double, emit double, pair array<int>, cnt array<long>"))
-    pairs = (facts.where("uid is null").select(F.arrays_zip("pair", "cnt").alias("z")).select(F.explode("z").alias("z"))
-             .groupBy("z.pair").agg(F.sum("z.cnt").alias("n")))
-    table = transitions({r["pair"]: r["n"] for r in pairs.collect()}, classes, class_n, class_words, discount)
-    scored = facts.where("uid is not null").mapInArrow(_final_kernel(table), "uid long, doc long, held boolean, tokens long, known long, base double, score double")
+    facts = cut(_to_chunks(chunks, found).mapInArrow(_score_kernel(classes, discount, class_n.tolist()), _MESSAGE_SQL), by="kind")
+    drop(chunks, found)
+    seen = _total(facts.where(F.col("kind") == PAIRS), classes * classes).reshape(classes, classes)
+    table = transitions(seen, class_n, class_words, discount)
+    scored = facts.where(F.col("kind") == SCORED).mapInArrow(_final_kernel(table), "uid long, doc long, held boolean, tokens long, known long, base double, score double")
     # A text in several parts has a row for each.
     sums = scored.groupBy("uid").agg(F.first("doc").alias("doc"), F.first("held").alias("held"), F.sum("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     return sums.select(F.col("doc").alias(id_col), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),

@@ -75,21 +75,18 @@ def test_transitions_are_distributions():
     r = np.random.default_rng(1)
     k = 6
     n, v = np.array([50.0, 0, 30, 20, 7, 9]), np.array([20.0, 0, 9, 4, 3, 1])
-    pairs = {a * (k + 1) + b: int(r.integers(1, 20)) for a in range(k) for b in range(k) if n[a] and n[b]}
-    p = 10 ** brown_lm.transitions(pairs, k, n, v, 0.6)
+    seen = np.where((n[:, None] > 0) & (n[None] > 0), r.integers(1, 20, (k, k)), 0)
+    p = 10 ** brown_lm.transitions(seen, n, v, 0.6)
     emitted = np.divide(n - 0.6 * v, n, out=np.zeros(k), where=n > 0)  # what known words of a class get
     for row in p:
         assert abs(row[:k] @ emitted + row[k] - 1) < 1e-9
 
 
-def test_neighbour_classes_are_those_of_the_sweep_before(spark):
-    from pyspark.sql import functions as F
-
-    rows, k = corpus(80, 3), 8
-    lists = [[brown_lm.END, *tokens(t)] for _, t in rows]
+def brute_classes(lists, k, sweeps):
+    """Classes of the words after the sweeps, by plain counting."""
     words = sorted({w for x in lists for w in x})
     cls = {w: k - 1 if w == brown_lm.END else brown_lm._ending(w.encode(), k) for w in words}
-    for _ in range(3):
+    for _ in range(sweeps):
         dense = {w: np.zeros(2 * k) for w in words}
         for x in lists:
             for a, b in zip(x, x[1:], strict=False):
@@ -98,9 +95,96 @@ def test_neighbour_classes_are_those_of_the_sweep_before(spark):
         m = np.full((k, 2 * k), 0.1)
         for w in words:
             m[cls[w]] += dense[w]
-        logs = np.hstack([np.log(h / h.sum(axis=1, keepdims=True)) for h in (m[:, :k], m[:, k:])])[:-1].astype(np.float32)
-        cls = {w: k - 1 if w == brown_lm.END else int((dense[w].astype(np.float32) @ logs.T).argmax()) for w in words}
-    df = spark.createDataFrame(rows, "doc long, text string").withColumn("held", F.lit(False))
-    for size in (10**6, 100):
-        chunks = brown_lm.cut(df.mapInArrow(brown_lm._chunk_kernel(k, size), brown_lm._CHUNKS_SQL))
-        assert {r.word: r.cls for r in brown_lm.cluster(chunks, k, 3).collect()} == cls
+        logs = np.hstack([np.log(h / h.sum(axis=1, keepdims=True)) for h in (m[:, :k], m[:, k:])])[:-1]
+        cls = {w: k - 1 if w == brown_lm.END else int(np.round(dense[w] @ logs.T, 6).argmax()) for w in words}
+    return cls
+
+
+def brute_scores(rows, held, k, sweeps):
+    """The model written down word by word."""
+    lists = {i: [brown_lm.END, *tokens(t)] for i, t in rows}
+    train = [x for i, x in lists.items() if not held(i)]
+    cls = brute_classes(train, k, sweeps)
+    c = Counter(w for x in train for w in x[1:])
+    n, v = Counter(), Counter()
+    for w, m in c.items():
+        n[cls[w]] += m
+        v[cls[w]] += 1
+    n1, n2 = sum(m == 1 for m in c.values()), sum(m == 2 for m in c.values())
+    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    pair = Counter((cls[a], cls[b]) for x in train for a, b in zip(x, x[1:], strict=False))
+    total, all_words = sum(n.values()), sum(v.values())
+
+    def move(a, b):
+        return (pair[a, b] + brown_lm.PRIOR * n[b] / total) / (sum(m for (x, _), m in pair.items() if x == a) + brown_lm.PRIOR)
+
+    def chance(a, b):  # of word class b (None: unknown) after a
+        if a is None:
+            return sum(v[x] / all_words * chance(x, b) for x in v)
+        return move(a, b) if b is not None else sum(move(a, x) * d * v[x] / n[x] for x in n)
+
+    known: dict = {}
+    out = {}
+    for i, x in lists.items():
+        s = 0.0
+        for a, b in zip(x, x[1:], strict=False):
+            ca, cb = (cls[w] if c[w] else None for w in (a, b))
+            if (ca, cb) not in known:
+                known[ca, cb] = math.log10(chance(ca, cb))
+            s += known[ca, cb] + (math.log10((c[b] - d) / n[cb]) if cb is not None else 0.0)
+        out[i] = s
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rows, k = [*corpus(120, 8), (500, None), (501, "n1a never seen words")], 8
+    held = lambda i: i % 5 == 1
+    want = brute_scores(rows, held, k, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from pyspark.sql import functions as F
+    for size in (10**6, 90):
+        got = {r.doc_id: r.score for r in brown_lm.score(df, F.col("doc_id") % 5 == 1, classes=k, chunk_tokens=size).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_neighbour_classes_are_those_of_the_sweep_before(spark):
+    from pyspark.sql import functions as F
+
+    rows, k = corpus(80, 3), 8
+    df = spark.createDataFrame(rows, "doc long, text string").withColumn("held", F.lit(False)).select("doc", "held", "text")
+    for sweeps in (0, 1, 3):
+        want = brute_classes([[brown_lm.END, *tokens(t)] for _, t in rows], k, sweeps)
+        for size in (10**6, 100):
+            chunks = brown_lm.chunked(df, k, size)
+            words = {}  # the words of a chunk's part, in the order of its classes
+            for r in chunks.where(F.col("kind") == brown_lm.COUNTS).collect():
+                words[r.chunk, r.part] = brown_lm._unpack(r.data)[0].tobytes().decode().split("\n")
+            for r in brown_lm.cluster(chunks, k, sweeps).where(F.col("kind") == brown_lm.CLASS).collect():
+                assert [want[w] for w in words[r.chunk, r.part]] == brown_lm._unpack(r.data)[0].tolist()
+
+
+def test_packed_arrays():
+    arrays = [np.array([], np.int64), np.array([0, 1, 300]), np.array([-5, 2**40]), np.array([1.5, -2.0]), np.array([True, False]), np.array([2**63 - 1])]
+    for a, b in zip(arrays, brown_lm._unpack(brown_lm._pack(*arrays)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_parts_add_up_in_steps(monkeypatch):
+    r = np.random.default_rng(4)
+    k = 5
+    logs = np.log(r.random((k - 1, 2 * k)))
+    dense = r.integers(0, 3, (57, 2 * k))
+    many = (dense > 0).sum(axis=1)
+    ctx, counts = np.nonzero(dense)[1], dense[dense > 0]
+    got = []
+    for gather, at_once in ((10**6, 10**6), (40, 10)):
+        monkeypatch.setattr(brown_lm, "GATHER", gather)
+        monkeypatch.setattr(brown_lm, "WORDS_AT_ONCE", at_once)
+        p = brown_lm._Part(2 * k)
+        p.n, p.end = np.arange(57), 9
+        for _ in range(3):
+            p.add(np.arange(57), many, ctx, counts)
+        got.append(p.classes(logs).tolist())
+    want = (3 * dense @ logs.T).argmax(axis=1)
+    want[9], want[0] = k - 1, k  # the end, and a word without training text
+    assert got[0] == got[1] == want.tolist()
