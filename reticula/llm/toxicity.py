@@ -1,16 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a sequence of words, each mapped by the lexical transducer to a class: INSULT,
-THREAT, TARGET, NEGATION, REPORT or other, with a weight.  Three transducers are composed
-into one machine: negation (softens what follows it closely), reported speech (softens the
-rest of the clause) and attack (an insult, a threat against a target, a target near an
-insult).  A clause scores the best path; a document scores by its matched clauses.
-
-The insults come from the labels.  A pattern is a word, or the beginning of words (4 to 6
-letters, so that derived forms match).  A pattern's evidence is the number of different
-words it follows in toxic texts (copies of one text count once that way), but at most two
-for each toxic text it is in (so that one long text doesn't count often); patterns
-enter the lexicon if that much evidence is expected for about one of all patterns by chance.  A logistic regression turns clause scores into a probability.
+A clause is a sequence of words; the lexical transducer gives each word its classes, INSULT,
+THREAT, TARGET, NEGATION, REPORT or other, with a weight.  Three transducers are composed into
+one machine: negation marks the attacks that follow it closely, reported speech marks those in
+the rest of its clause, and attack matches insults (more if a target is near) and threats (only
+if a target follows), scaled by their marks.  The machine is not deterministic: whether an attack
+is read as aimed is guessed and must come true.  A clause scores its best path; a document scores
+by its matched clauses, and a logistic regression turns that into a probability.
+
+What the labels teach.  A pattern is a word, the beginning of words (4 to 6 letters, so that
+derived forms match), or a word with a target after it.  A pattern's evidence is the number of
+different words it follows in toxic texts (copies of one text count once that way), but at most
+two for each toxic text it is in (so that one long text doesn't count often); occurrences under
+negation or report are no evidence.  Patterns enter the lexicon if that much evidence is expected
+for about one of all patterns by chance: as insults, or as threats where only the pattern with
+the target does.  In a second pass the words around attacks enter the other classes: those before
+attacks in clean texts as negations or reports, those after threats in toxic texts as targets.
+The fixed words of a class leave it if the labels speak against them.
 """
 
 from __future__ import annotations
@@ -18,147 +24,206 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import drop
 from .common import cut
 
-#: Bounds: labelled rows that the model is fitted on (in hash order), and learned patterns.
-SAMPLE_ROWS, MAX_PATTERNS = 20_000, 5_000
-
-# Fixed English word lists of the grammar.
-THREATS = frozenset("kill hurt destroy beat burn punish crush murder stab shoot attack strangle".split())
-TARGETS = frozenset("you your he she they them him her this that these those everyone people".split())
-NEGATIONS = frozenset("not never no nobody isn aren wasn don doesn didn won cannot without hardly".split())
-REPORTS = frozenset("said says wrote writes quoted quotes reported claims claimed called told according alleged".split())
-
-#: Factors of the grammar.
-NEGATED, REPORTED, AIMED, THREAT_WEIGHT = 0.5, 0.6, 1.2, 3.0
-NEGATION_REACH = 2
+#: Bound of the labelled rows that the model is fitted on (in hash order).
+SAMPLE_ROWS = 20_000
+
+# Fixed words that the classes start from: English, German, French, Spanish.
+THREATS = frozenset("""kill hurt destroy beat burn punish crush murder stab shoot attack strangle
+    töten umbringen schlagen verbrennen zerstören erwürgen erschießen tuer frapper brûler détruire égorger étrangler
+    matar golpear quemar destruir estrangular apuñalar""".split())
+TARGETS = frozenset("""you your he she they them him her this that these those everyone people
+    du dich dir euch ihn ihm alle tu te toi vous lui leur tous ti usted ustedes ellos ellas todos""".split())
+NEGATIONS = frozenset("""not never no nobody isn aren wasn don doesn didn won cannot without hardly
+    nicht nie kein keine keinen niemals ohne pas jamais aucun aucune sans nunca jamás ningún ninguna sin""".split())
+REPORTS = frozenset("""said says wrote writes quoted quotes reported claims claimed called told according alleged
+    sagte sagt schrieb behauptete nannte zitierte dit écrit disait appelé selon dijo dice escribió llamó según""".split())
+
+#: Factors of the grammar, weight of a fixed threat word, words that a negation and a target reach.
+NEGATED, REPORTED, AIMED, THREAT_WEIGHT = 0.4, 0.6, 1.2, 3.0
+REACH, GAP = 2, 3
+#: A word around attacks: least documents to judge it by; share of toxic ones against all, below which it softens.
+LEAST, SOFT = 5, 0.25
 
 WORDS = re.compile(r"[^\W\d_]+")
 CLAUSES = re.compile(r"[.!?;:\n]+")
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+#: Classes of words; then attacks that are marked as negated, reported, or both.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, INSULT_N, THREAT_N, INSULT_R, THREAT_R, INSULT_NR, THREAT_NR = range(12)
+SYMBOLS = 12
+_NEGATE = {INSULT: INSULT_N, THREAT: THREAT_N}
+_REPORTED = {INSULT: INSULT_R, THREAT: THREAT_R, INSULT_N: INSULT_NR, THREAT_N: THREAT_NR}
+_FACTORS = {INSULT: 1.0, INSULT_N: NEGATED, INSULT_R: REPORTED, INSULT_NR: NEGATED * REPORTED}
+_THREAT_FACTORS = {THREAT: 1.0, THREAT_N: NEGATED, THREAT_R: REPORTED, THREAT_NR: NEGATED * REPORTED}
 
 
 # ---- transducers ---------------------------------------------------------------------------
 
+Arc = tuple[int, int, float]
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic weighted transducer over word classes.
+    """Weighted transducer: ``arcs[state][symbol]`` are (next state, symbol out, factor of the word's weight).
 
-    ``arcs[state][class] = (next state, class out, factor, bonus)``: a word's weight becomes
-    weight * factor + bonus.  State 0 is the start, every state final.
+    State 0 is the start.  A path through a sequence of words weighs the sum of factor * weight.
     """
 
-    arcs: tuple[tuple[tuple[int, int, float, float], ...], ...]
+    arcs: tuple[tuple[tuple[Arc, ...], ...], ...]
+    finals: frozenset[int]
 
     def compose(self, other: Transducer) -> Transducer:
-        """The transducer that feeds this one's output to ``other`` (reachable state pairs only)."""
-        number, order = {(0, 0): 0}, [(0, 0)]
-        arcs = []
+        """The transducer that feeds this one's output to ``other``; states that the start reaches."""
+        number, order, arcs = {(0, 0): 0}, [(0, 0)], []
         for a, b in order:
             row = []
-            for cls in range(6):
-                a2, mid, f1, b1 = self.arcs[a][cls]
-                b2, out, f2, b2_bonus = other.arcs[b][mid]
-                if (a2, b2) not in number:
-                    number[a2, b2] = len(order)
-                    order.append((a2, b2))
-                row.append((number[a2, b2], out, f1 * f2, b1 * f2 + b2_bonus))
+            for symbol in range(SYMBOLS):
+                made = []
+                for a2, mid, f in self.arcs[a][symbol]:
+                    for b2, out, g in other.arcs[b][mid]:
+                        if (a2, b2) not in number:
+                            number[a2, b2] = len(order)
+                            order.append((a2, b2))
+                        made.append((number[a2, b2], out, f * g))
+                row.append(tuple(made))
             arcs.append(tuple(row))
-        return Transducer(tuple(arcs))
+        return Transducer(tuple(arcs), frozenset(k for k, (a, b) in enumerate(order) if a in self.finals and b in other.finals))
 
-    def run(self, classes: Iterable[tuple[int, float]]) -> list[tuple[int, float]]:
-        state, out = 0, []
-        for cls, weight in classes:
-            state, made, factor, bonus = self.arcs[state][cls]
-            out.append((made, weight * factor + bonus))
-        return out
+    def best(self, words: Iterable[Iterable[tuple[int, float]]]) -> float | None:
+        """Weight of the best path through words with alternative (symbol, weight); None without any."""
+        live = {0: 0.0}
+        for alternatives in words:
+            grown: dict[int, float] = {}
+            for symbol, weight in alternatives:
+                for state, total in live.items():
+                    for after, _, factor in self.arcs[state][symbol]:
+                        reached = total + factor * weight
+                        if reached > grown.get(after, -1.0):
+                            grown[after] = reached
+            live = grown
+        return max((t for s, t in live.items() if s in self.finals), default=None)
 
 
-def _same(state: int, cls: int) -> tuple[int, int, float, float]:
-    return state, cls, 1.0, 0.0
+def _row(arcs: dict[int, list[Arc]]) -> tuple[tuple[Arc, ...], ...]:
+    return tuple(tuple(arcs.get(s, ())) for s in range(SYMBOLS))
 
 
 def negation() -> Transducer:
-    """After a negation, attacks within NEGATION_REACH words weigh less."""
-    rows = [tuple(_same(1 if c == NEGATION else 0, c) for c in range(6))]
-    for left in range(1, NEGATION_REACH + 1):
-        after = left + 1 if left < NEGATION_REACH else 0
-        rows.append(tuple((1, c, 1.0, 0.0) if c == NEGATION else (after, c, NEGATED, 0.0) if c in (INSULT, THREAT) else _same(after, c) for c in range(6)))
-    return Transducer(tuple(rows))
+    """Marks the attacks within REACH words after a negation.  State: words it still reaches."""
+    rows = []
+    for left in range(REACH + 1):
+        after = max(left - 1, 0)
+        rows.append(_row({s: [(REACH, OTHER, 1.0)] if s == NEGATION else [(after, _NEGATE.get(s, s) if left else s, 1.0)] for s in range(6)}))
+    return Transducer(tuple(rows), frozenset(range(len(rows))))
 
 
 def reported() -> Transducer:
-    """After a verb of speech, attacks in the rest of the clause weigh less."""
-    return Transducer((tuple(_same(1 if c == REPORT else 0, c) for c in range(6)),
-                       tuple((1, c, REPORTED, 0.0) if c in (INSULT, THREAT) else _same(1, c) for c in range(6))))
+    """Marks the attacks after a verb of speech, to the end of the clause."""
+    symbols = [INSULT, THREAT, INSULT_N, THREAT_N, TARGET, OTHER]
+    rows = [_row({s: [(state, _REPORTED.get(s, s) if state else s, 1.0)] for s in symbols} | {REPORT: [(1, OTHER, 1.0)]}) for state in (0, 1)]
+    return Transducer(tuple(rows), frozenset((0, 1)))
 
 
 def attack() -> Transducer:
-    """States: nothing, target seen, threat seen, insult seen.  A threat counts once it has a target."""
-    none, target, threat, insult = range(4)
-    plain = [_same(none, c) for c in range(6)]
-
-    def row(state: int, **arcs: tuple[int, int, float, float]) -> tuple:
-        out = [(state, c, w, b) for _, c, w, b in plain]
-        out[THREAT] = (threat, OTHER, 0.0, 0.0)
-        out[TARGET] = (target, OTHER, 0.0, 0.0)
-        out[INSULT] = (insult, INSULT, 1.0, 0.0)
-        for name, arc in arcs.items():
-            out[{"i": INSULT, "t": TARGET, "h": THREAT}[name]] = arc
-        return tuple(out)
-
-    return Transducer((row(none), row(target, i=(insult, INSULT, AIMED, 0.0), h=(threat, THREAT, 1.0, 0.0)),
-                       row(threat, t=(target, THREAT, 0.0, THREAT_WEIGHT)), row(insult, t=(target, INSULT, 0.0, 0.5))))
+    """Insults and threats.  States: 0; a target stood within GAP words (1 to GAP left); one must follow within GAP words."""
+    def seen(left: int) -> int:
+        return left
+
+    def owed(left: int) -> int:
+        return GAP + left
+
+    rows = []
+    for state in range(2 * GAP + 1):
+        near, due = (state, 0) if state <= GAP else (0, state - GAP)
+        # What a word that is no target leads to; a target that is due must come in time.
+        step = [owed(due - 1)] if due > 1 else [] if due else [seen(max(near - 1, 0))]
+        arcs: dict[int, list[Arc]] = {TARGET: [(seen(GAP), OTHER, 0.0)], OTHER: [(s, OTHER, 0.0) for s in step]}
+        for symbol, factor in _FACTORS.items():
+            aimed = factor * (AIMED if near else 1.0)
+            arcs[symbol] = [(s, INSULT, aimed) for s in step]
+            if not near and not due:  # guess that its target follows
+                arcs[symbol].append((owed(GAP), INSULT, factor * AIMED))
+        for symbol, factor in _THREAT_FACTORS.items():
+            arcs[symbol] = [(s, OTHER, 0.0) for s in step] + ([(s, THREAT, factor) for s in step] if due else [(owed(GAP), THREAT, factor)])
+        rows.append(_row(arcs))
+    return Transducer(tuple(rows), frozenset(range(GAP + 1)))
+
+
+def marks() -> Transducer:
+    return negation().compose(reported())
 
 
 def machine() -> Transducer:
-    return negation().compose(reported()).compose(attack())
+    return marks().compose(attack())
 
 
 # ---- scoring -------------------------------------------------------------------------------
 
+_MARKS = marks()
+_SPEECH = dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
+
+
 @dataclass
 class Model:
-    """Learned lexicon (pattern to weight), and the logistic layer over the features."""
+    """Learned lexicon (pattern to weight), words of the other classes, and the logistic layer over the features."""
 
     words: dict[str, float]
     stems: dict[str, float]
     weights: tuple[float, ...] = (-3.0, 1.5, 0.5)
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, THREAT_WEIGHT))
+    targets: frozenset[str] = TARGETS
+    negations: frozenset[str] = NEGATIONS
+    reports: frozenset[str] = REPORTS
     grammar: Transducer = field(default_factory=machine)
-    _known: dict[str, tuple[int, float]] = field(default_factory=dict)
+    _known: dict[str, tuple[tuple[int, float], ...]] = field(default_factory=dict)
 
-    def classify(self, word: str) -> tuple[int, float]:
+    def classify(self, word: str) -> tuple[tuple[int, float], ...]:
+        """The lexical transducer: every class of a word, with its weight."""
         found = self._known.get(word)
         if found is None:
             weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in (4, 5, 6) if len(word) >= k)])
-            kind = INSULT if weight else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
-            found = (kind, weight or (THREAT_WEIGHT if kind == THREAT else 0.0))
+            kinds = [(INSULT, weight)] if weight else []
+            kinds += [(THREAT, self.threats[word])] if word in self.threats else []
+            kinds += [(c, 0.0) for c, of in ((TARGET, self.targets), (NEGATION, self.negations), (REPORT, self.reports)) if word in of]
+            found = tuple(kinds) or ((OTHER, 0.0),)
             if len(self._known) > 200_000:
                 self._known.clear()
             self._known[word] = found
         return found
 
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that match."""
+    def hits(self, text: str) -> Iterator[tuple[list[str], list[tuple[tuple[int, float], ...]]]]:
+        """Words and classes of the clauses that hold an insult or threat."""
         lowered = text.lower()
         classify = self.classify
-        if not any(classify(w)[0] in (INSULT, THREAT) for w in set(WORDS.findall(lowered))):
-            return []
-        scores = []
+        if not any(classify(w)[0][0] <= THREAT for w in set(WORDS.findall(lowered))):
+            return
         for clause in CLAUSES.split(lowered):
-            classes = [classify(w) for w in WORDS.findall(clause)]
-            if any(c in (INSULT, THREAT) for c, _ in classes):
-                total = sum(w for c, w in self.grammar.run(classes) if c in (INSULT, THREAT))
-                if total > 0:
-                    scores.append(total)
+            words = WORDS.findall(clause)
+            classes = [classify(w) for w in words]
+            if any(c[0][0] <= THREAT for c in classes):
+                yield words, classes
+
+    def clauses(self, text: str) -> list[float]:
+        """Scores of the clauses that match: best paths."""
+        scores = []
+        for _, classes in self.hits(text):
+            short, run = [], 0  # more other words than the grammar counts change nothing
+            for c in classes:
+                run = run + 1 if c[0][0] == OTHER else 0
+                if run <= max(REACH, GAP) + 1:
+                    short.append(c)
+            total = self.grammar.best(short)
+            if total:
+                scores.append(total)
         return scores
 
     def features(self, text: str) -> tuple[float, float]:
@@ -173,37 +238,60 @@ class Model:
 
 # ---- learning ------------------------------------------------------------------------------
 
-def _patterns(text: str) -> Iterator[tuple[str, str]]:
-    """(pattern, word before it): words as 'w...', stems as 's...'."""
-    before = ""
-    for word in WORDS.findall(text.lower()):
-        if len(word) >= 3:
-            yield "w" + word, before
-            for k in (4, 5, 6):
-                if len(word) >= k:
-                    yield "s" + word[:k], before
-        before = word
-
-
-def _pattern_kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, word before it in a toxic text), and (pattern, null) with its toxic and clean documents."""
-    import xxhash
-
-    for batch in batches:
-        pairs: set[tuple[str, int]] = set()
-        documents: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = set(_patterns(text or ""))
-            documents[bool(toxic)].update({p for p, _ in found})
-            if toxic:
-                pairs |= {(p, xxhash.xxh32_intdigest(b)) for p, b in found}
-        names = [*documents[0], *documents[1]]
-        clean = [*documents[0].values(), *[0] * len(documents[1])]
-        bad = [*[0] * len(documents[0]), *documents[1].values()]
-        empty = [0] * len(pairs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*(p for p, _ in pairs), *names]), pa.array([*(b for _, b in pairs), *[None] * len(names)], pa.int64()), pa.array(empty + bad, pa.int64()), pa.array(empty + clean, pa.int64())],
-            names=["pattern", "before", "bad", "clean"])
+def _patterns(text: str) -> set[tuple[str, str]]:
+    """(pattern, word before it): words as 'w...', stems as 's...', words with a target behind as 't...'; none that negation or report would mark."""
+    found: set[tuple[str, str]] = set()
+    add = found.add
+    for clause in CLAUSES.split(text.lower()):
+        words, state, before = WORDS.findall(clause), 0, ""
+        aimed = {i for j, w in enumerate(words) if w in TARGETS for i in range(max(0, j - GAP), j)}
+        for i, word in enumerate(words):
+            free = state == 0 or _MARKS.arcs[state][INSULT][0][1] == INSULT
+            if free and len(word) >= 3:
+                add(("w" + word, before))
+                if len(word) >= 4:
+                    add(("s" + word[:4], before))
+                    if len(word) >= 5:
+                        add(("s" + word[:5], before))
+                        if len(word) >= 6:
+                            add(("s" + word[:6], before))
+                if i in aimed:
+                    add(("t" + word, before))
+            if state or word in _SPEECH:
+                state = _MARKS.arcs[state][_SPEECH.get(word, OTHER)][0][0]
+            before = word
+    return found
+
+
+def _tally(texts: DataFrame, found: Callable[[str], set[tuple[str, str]]]) -> DataFrame:
+    """(pattern, before, bad, clean): different words before a pattern in toxic texts, and its toxic and clean documents (before: null)."""
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            pairs: set[tuple[str, int]] = set()
+            documents: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                seen = found(text.as_py() or "")
+                documents[bool(toxic)].update({p for p, _ in seen})
+                if toxic:
+                    pairs |= {(p, xxhash.xxh32_intdigest(b)) for p, b in seen}
+            names = [*documents[0], *documents[1]]
+            clean = [*documents[0].values(), *[0] * len(documents[1])]
+            bad = [*[0] * len(documents[0]), *documents[1].values()]
+            empty = [0] * len(pairs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*(p for p, _ in pairs), *names]), pa.array([*(b for _, b in pairs), *[None] * len(names)], pa.int64()), pa.array(empty + bad, pa.int64()), pa.array(empty + clean, pa.int64())],
+                names=["pattern", "before", "bad", "clean"])
+
+    seen = texts.mapInArrow(kernel, "pattern string, before long, bad long, clean long")
+    return seen.groupBy("pattern", "before").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+
+
+def _gain(t: Column, c: Column, share: Column | float) -> Column:
+    """Log-likelihood ratio of t toxic and c clean against the share of toxic documents."""
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + c) * p))).otherwise(0.0)
+    return part(t, share) + part(c, 1 - share)
 
 
 def lexicon(weights: dict[str, float]) -> dict[str, float]:
@@ -215,37 +303,86 @@ def lexicon(weights: dict[str, float]) -> dict[str, float]:
     return {p: w for p, w in weights.items() if p[0] == "w" or w >= best.get(p[1:], 0.0) - 0.5}
 
 
+def _around(model: Model) -> Callable[[str], set[tuple[str, str]]]:
+    """Words around attacks: 'n' close before one, 'r' farther before, 'a' soon after a threat; '*' for any such attack."""
+    def found(text: str) -> set[tuple[str, str]]:
+        out: set[tuple[str, str]] = set()
+        for words, classes in model.hits(text):
+            for i, kinds in enumerate(classes):
+                if kinds[0][0] > THREAT:
+                    continue
+                places = [("n", words[max(0, i - REACH): i]), ("r", words[: max(0, i - REACH)])]
+                if any(c == THREAT for c, _ in kinds):
+                    places.append(("a", words[i + 1: i + 1 + GAP]))
+                for role, near in places:
+                    out.add((role + "*", ""))
+                    out.update((role + w, "") for w in near)
+        return out
+
+    return found
+
+
+def _learn_context(model: Model, sample: DataFrame) -> Model:
+    """The other classes after the words around attacks: those the labels support come in, those they refute go."""
+    counts = _tally(sample, _around(model)).groupBy("pattern").agg(F.sum("bad").alias("t"), F.sum("clean").alias("c"))
+    counts = cut(counts.withColumn("role", F.substring("pattern", 1, 1)))
+    base = {r["role"]: (r["t"], r["c"]) for r in counts.where(F.substring("pattern", 2, 10) == "*").collect()}
+    classes = {"n": set(model.negations), "r": set(model.reports), "a": set(model.targets)}
+    chance = math.log(max(counts.count(), 2))
+    for role, (bad, good) in base.items():
+        share = (bad + 0.5) / (bad + good + 1)
+        t, c = F.col("t"), F.col("c")
+        own = counts.where((F.col("role") == role) & (t + c >= LEAST) & (F.substring("pattern", 2, 10) != "*"))
+        odd = (t / (t + c) > share) if role == "a" else (t / (t + c) < SOFT * share)
+        against = (t / (t + c) <= share / 2) if role == "a" else (t / (t + c) >= share / 2)
+        seeds = [role + w for w in classes[role]]
+        rows = own.withColumn("enters", odd & (_gain(t, c, share) >= chance)).withColumn("leaves", against & F.col("pattern").isin(seeds)).where("enters or leaves")
+        for r in rows.select("pattern", "enters").collect():  # few: each has evidence beyond chance, or is a fixed word
+            (classes[role].add if r["enters"] else classes[role].discard)(r["pattern"][1:])
+    drop(counts)
+    return replace(model, negations=frozenset(classes["n"]), reports=frozenset(classes["r"]), targets=frozenset(classes["a"]), _known={})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the labelled rows (``labels``: id, toxic), at most ``sample_rows`` of them in hash order."""
+    """Learn from the labelled rows (``labels``: id, toxic), at most ``sample_rows`` of them in hash order.
+
+    Cases: labels that are null or whose id is null or has no text teach nothing; of several
+    labels of an id the larger counts; null and empty texts have no words; repeated rows of
+    ``docs`` count each.  With labels of one kind only, or none (an empty table), the model gives
+    that kind (or clean) to every text.  Other columns are ignored.
+    """
     chosen = (labels.where("toxic is not null").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
               .where("id is not null").groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample_rows))
     # At most sample_rows rows of two numbers: small enough for a broadcast by its own bound.
+    chosen = cut(chosen)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = cut(texts.join(F.broadcast(cut(chosen)), "id"))
+    sample = cut(texts.join(F.broadcast(chosen), "id"))
+    drop(chosen)
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Model({}, {}, (-3.0 if good else 3.0 if bad else -3.0, 0.0, 0.0))
-    seen = sample.mapInArrow(_pattern_kernel, "pattern string, before long, bad long, clean long")
-    counts = (seen.groupBy("pattern", "before").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean")).groupBy("pattern")
-              .agg(F.least(F.count("before"), 2 * F.sum("bad")).alias("toxic"), F.sum("clean").alias("clean")))
-    counts = cut(counts)
+    counts = cut(_tally(sample, _patterns).groupBy("pattern").agg(F.least(F.count("before"), 2 * F.sum("bad")).alias("toxic"), F.sum("clean").alias("clean")))
     share = bad / (bad + good)
     chance = math.log(max(counts.count(), 2))  # about one pattern enters by chance
     t, c = F.col("toxic"), F.col("clean")
-    # Log-likelihood ratio against the share of toxic documents: evidence beyond chance over all patterns.
-    gain = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
-    strong = (counts.where((t >= 3) & (t > 4 * c)).withColumn("gain", gain).where(F.col("gain") >= chance)
-              .orderBy(F.desc("gain"), "pattern").limit(MAX_PATTERNS).collect())
-    weight = lexicon({r["pattern"]: min(6.0, math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5))) for r in strong})
-    model = Model({p[1:]: w for p, w in weight.items() if p[0] == "w"}, {p[1:]: w for p, w in weight.items() if p[0] == "s"})
+    # Evidence beyond chance over all patterns: no more of them than the sample can support.
+    strong = counts.where((t >= 3) & (t > 4 * c) & (_gain(t, c, share) >= chance)).collect()
+    drop(counts)
+    weight = {r["pattern"]: min(6.0, math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5))) for r in strong}
+    insults = lexicon({p: w for p, w in weight.items() if p[0] != "t"})
+    model = Model({p[1:]: w for p, w in insults.items() if p[0] == "w"}, {p[1:]: w for p, w in insults.items() if p[0] == "s"})
+    # Toxic with a target only: a threat.
+    model.threats |= {p[1:]: w for p, w in weight.items() if p[0] == "t" and model.classify(p[1:])[0][0] != INSULT}
+    model = _learn_context(model, sample)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.features(t or "") for t in batch.column("text").to_pylist()]
+            x = [model.features(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
 
-    rows = sample.mapInArrow(features, "a double, b double, toxic int").groupBy("a", "b", "toxic").count().collect()
+    rows = sample.mapInArrow(features, "a double, b double, toxic int").groupBy("a", "b", "toxic").count().collect()  # at most sample_rows
+    drop(sample)
     model.weights = logistic(np.array([[1.0, r["a"], r["b"]] for r in rows]), np.array([float(r["toxic"]) for r in rows]), np.array([float(r["count"]) for r in rows]))
     return model
 
@@ -269,7 +406,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Id, ``score`` (0 to 1) and ``predicted`` of every row, whole texts.
 
     Cases: null and empty texts have no clauses and get the score of that; repeated rows and
-    null ids give a row each; other columns are ignored.
+    null ids give a row each; an empty table gives no rows; long texts are read whole, clause by
+    clause; other columns are ignored.
     """
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +419,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is under the threshold; columns as given."""
+    """The rows whose score is under the threshold; columns as given.
+
+    Cases: null and empty texts have no clauses and stay if the score of that is under the
+    threshold; equal rows go or stay together; an empty table gives no rows.
+    """
     names = docs.columns
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
