@@ -10,6 +10,8 @@ from ..plans.lineage import cut
 #: White space of the contracts: space and the controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: A key is hot from so many rows on, and there are never more hot keys than this.
+HOT_ROWS, HOT_KEYS = 512, 100_000
 
 
 def running_totals(df: DataFrame, order: list[Column], value: Column, within: str | None = None) -> DataFrame:
@@ -46,6 +48,22 @@ def running_totals(df: DataFrame, order: list[Column], value: Column, within: st
     return joined.drop("_v")
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, which has a row for each key and in ``count`` how many of ``rows`` have that key.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys: a key is hot if its
+    rows are more than HOT_ROWS and than 1/HOT_KEYS of all, so no more than HOT_KEYS keys are.
+    All others meet by the usual join, whose keys are small.  ``table`` should be cut.
+    """
+    total = table.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = table.where(F.col(count) > max(HOT_ROWS, total // HOT_KEYS + 1))
+    if total <= HOT_ROWS or hot.isEmpty():
+        return rows.join(table, keys, how)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(table, keys, how)
+    return marked.where("_hot").select(*rest.columns).union(rest)
+
+
 def keep_rows(docs: DataFrame, id_col: str, key: Column, rows: DataFrame, stay: DataFrame) -> DataFrame:
     """Of ``docs`` the rows that ``stay(id, key)`` names, one for each name; columns as given.
 

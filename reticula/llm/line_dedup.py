@@ -1,16 +1,12 @@
 """Line deduplication by content-defined chunks of lines. DataFrame functions only.
 
-Lines are hashed.  A document is cut into chunks of lines where
-  * a rolling hash over the last lines' hashes hits a residue (so a boundary depends on
-    nearby content only and moves along when text is inserted before it),
-  * lines begin or end that first stood together in one other document, or
-  * a line is long enough to be a passage by itself.
-Chunks are compared globally by hash, then byte by byte.  A run of adjacent chunks that all
-stood somewhere before (smaller id) is removed if it has at least ``min_words`` words; the
-first occurrence stays.
-
-A repeated passage need not have chunk boundaries at its own ends (its first host may have
-copies, a near copy may be edited beside it).  So the shortest passages of ``min_words`` words
+Lines are hashed.  A document is cut into chunks of lines where a rolling hash over the last
+lines' hashes hits a residue, so a boundary depends on nearby content only and moves along when
+text is inserted before it.  Chunks are compared globally by hash, then byte by byte.  A run of
+adjacent chunks that all stood somewhere before (smaller id) is removed if it has at least
+``min_words`` words; the first occurrence stays.
+
+A repeated passage need not have chunk boundaries at its own ends.  So the shortest passages of ``min_words`` words
 are compared too: from each line on and up to each line.  Every repeated passage of so many
 words is the union of such ones.  Those that the runs of chunks don't cover are removed as well.
 
@@ -20,15 +16,16 @@ the byte comparison and for the removal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..plans.lineage import drop
+from .common import cut, join_counted
 
 #: Lines in the rolling hash; one boundary in so many lines; least words of what is removed.
 WINDOW, DIVISOR, MIN_WORDS = 2, 4, 50
-#: No chunk has more lines (a line repeated without end has no boundary of its own).
-MAX_LINES = 64
 
 
 def _lines(text: Column) -> Column:
@@ -51,31 +48,19 @@ def chunks(docs: DataFrame, min_words: int, window: int, divisor: int) -> DataFr
                 .select("id", "row", "i", "line.h", "line.w"))
     if not lines.where("i = 0").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         lines = lines.dropDuplicates(["id", "row", "i"])  # rows equal in id and text are one document
-    here = F.struct(F.col("id").isNull(), "id", "row")
-    common = (lines.where("w > 0").groupBy("h").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-              .where("first <> last").select("h", F.xxhash64("first").alias("origin")))
-    marked = lines.join(common, "h", "left")
     order = Window.partitionBy("id", "row").orderBy("i")
-    marked = marked.withColumn("upto", F.sum("w").over(order))
-    # Stretches of lines that first stood in one document together, or that no other document has.
-    change = ~F.col("origin").eqNullSafe(F.lag("origin").over(order)) | F.lag("i").over(order).isNull()
-    marked = marked.withColumn("_change", change.cast("int")).withColumn("_stretch", F.sum("_change").over(order)).drop("_change")
-    within = Window.partitionBy("id", "row", "_stretch").orderBy("i")
     rolling = F.lit(0).cast("long")
-    for k in range(window):  # hash of the last lines of the stretch, in order
-        rolling = F.xxhash64(rolling, F.coalesce(F.lag("h", window - 1 - k).over(within), F.lit(0)))
-    long_line = F.col("w") >= min_words
-    ends = (F.pmod(rolling, F.lit(divisor)) == 0) | long_line
-    begins = F.coalesce(F.lag("_ends").over(within), F.lit(True)) | long_line
-    numbered = marked.withColumn("_ends", ends).withColumn("_begins", begins)
-    numbered = numbered.withColumn("_chunk", F.sum(F.col("_begins").cast("int")).over(order))
-    inside = F.row_number().over(Window.partitionBy("id", "row", "_chunk").orderBy("i")) - 1
-    numbered = numbered.withColumn("_part", F.floor(inside / MAX_LINES))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])  # at most MAX_LINES
-    cut_up = (numbered.groupBy("id", "row", "_chunk", "_part")
+    for k in range(window):  # hash of the last lines, in order
+        rolling = F.xxhash64(rolling, F.coalesce(F.lag("h", window - 1 - k).over(order), F.lit(0)))
+    numbered = lines.withColumn("upto", F.sum("w").over(order)).withColumn("_ends", F.pmod(rolling, F.lit(divisor)) == 0)
+    numbered = numbered.withColumn("_chunk", F.sum(F.coalesce(F.lag("_ends").over(order), F.lit(True)).cast("int")).over(order))
+    # A line's place in its chunk goes into the key, so that their order counts; no list is built, however long a chunk is.
+    inside = Window.partitionBy("id", "row", "_chunk").orderBy("i")
+    numbered = numbered.withColumn("_at", F.row_number().over(inside))
+    cut_up = (numbered.groupBy("id", "row", "_chunk")
               .agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min(F.col("upto") - F.col("w")).alias("before"), F.max("upto").alias("upto"),
-                   F.lit(False).alias("passage"), F.sum("w").alias("words"), F.xxhash64(listed).alias("key"))
-              .drop("_chunk", "_part"))
+                   F.lit(False).alias("passage"), F.sum("w").alias("words"), F.bit_xor(F.xxhash64("_at", "h")).alias("key"))
+              .drop("_chunk"))
     return cut_up.union(_passages(lines, min_words))
 
 
@@ -97,25 +82,45 @@ def _passages(lines: DataFrame, min_words: int) -> DataFrame:
         F.lit(True).alias("passage"), words.alias("words"), F.xxhash64(F.col("z.h")).alias("key"))
 
 
-def _content(text: Column, lo: Column, hi: Column, passage: Column) -> Column:
-    lines = F.slice(_lines(text), lo + 1, hi - lo + 1)
-    return F.array_join(F.when(passage, F.filter(lines, lambda x: F.trim(x) != "")).otherwise(lines), "\n")
+def _content(lines: Column, spot: Column) -> Column:
+    own = F.slice(lines, spot["lo"] + 1, spot["hi"] - spot["lo"] + 1)
+    return F.array_join(F.when(spot["passage"], F.filter(own, lambda x: F.trim(x) != "")).otherwise(own), "\n")
+
+
+def _with_lines(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the lines of a text, which is split once (bound as a variable) and not for each use."""
+    return F.element_at(F.transform(F.array(_lines(text)), body), 1)
+
 
+def _apart() -> Column:
+    """No line is shared with the first occurrence."""
+    return ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("lo") <= F.col("first.hi")))
 
-def _same_bytes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of the later occurrences, those that equal the first one of their key byte by byte."""
-    spots = found.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi", "passage", "key", "place", "first")).alias("spots"))
-    texts = docs.join(spots, docs["id"].eqNullSafe(spots["id"]) & (docs["row"] == spots["row"])).select(docs["id"], docs["row"], "text", F.explode("spots").alias("s"))
-    contents = texts.select("s.passage", "s.key", "s.place", "s.first", _content(F.col("text"), F.col("s.lo"), F.col("s.hi"), F.col("s.passage")).alias("content"))
-    groups = cut(contents.groupBy("passage", "key", "content").agg(F.count("*").alias("n")).select("passage", "key", F.sha2("content", 256).alias("_sha")))
+
+def _contents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(passage, key, place, content) of the chunks ``found``: the one join with the texts."""
+    spots = found.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi", "passage", "key", "place")).alias("spots"))
+    texts = docs.join(spots, docs["id"].eqNullSafe(spots["id"]) & (docs["row"] == spots["row"]))
+    each = _with_lines(F.col("text"), lambda lines: F.transform("spots", lambda s: F.struct(s["passage"].alias("passage"), s["key"].alias("key"), s["place"].alias("place"), _content(lines, s).alias("content"))))
+    return texts.select(F.explode(each).alias("s")).select("s.*")
+
+
+def _same_bytes(docs: DataFrame, found: DataFrame, marked: DataFrame) -> DataFrame:
+    """Of the later occurrences, those that equal an earlier one of their key byte by byte.
+
+    ``found`` has the later occurrences and the first one of each key.  Where a key has several
+    contents, each content has a first occurrence of its own, sought among all of the key.
+    """
+    groups = cut(_contents(docs, found).groupBy("passage", "key", "content").agg(F.count("*").alias("n")).select("passage", "key", F.sha2("content", 256).alias("_sha")))
     clash = groups.groupBy("passage", "key").agg(F.count("*").alias("n")).where("n > 1").select("passage", "key")
     later = found.where("place <> first")
     if clash.isEmpty():
         return later
-    # Keys with several contents: compare with the first occurrence itself.
-    lead = contents.where("place = first").join(clash, ["passage", "key"], "left_semi").select("passage", "key", F.col("content").alias("_lead")).distinct()
-    differ = contents.join(lead, ["passage", "key"]).where("content <> _lead").select("passage", "place").distinct()
-    return later.join(differ, ["passage", "place"], "left_anti")
+    every = _contents(docs, marked.join(clash, ["passage", "key"], "left_semi"))
+    own = every.withColumn("own", F.min("place").over(Window.partitionBy("passage", "key", "content"))).select("passage", "place", "own")
+    there = (marked.join(clash, ["passage", "key"], "left_semi").join(own, ["passage", "place"]).withColumn("first", F.col("own"))
+             .where("place <> first").where(~F.col("passage") | _apart()).select(*found.columns))
+    return later.join(clash, ["passage", "key"], "left_anti").select(*found.columns).union(there)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
@@ -126,14 +131,15 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = cut(chunks(source, min_words, window, divisor))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "lo", "hi")
     every = every.withColumn("place", place)
-    keys = every.where("words > 0").groupBy("passage", "key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = every.join(keys, ["passage", "key"], "left").withColumn("later", F.coalesce(F.col("place") != F.col("first"), F.lit(False)) | (F.col("words") == 0))
+    keys = cut(every.where("words > 0").groupBy("passage", "key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    marked = cut(join_counted(every, keys, ["passage", "key"], "n", "left").drop("n")
+                 .withColumn("later", F.coalesce(F.col("place") != F.col("first"), F.lit(False)) | (F.col("words") == 0)).where("later or first is not null"))
+    drop(every, keys)
     columns = ["id", "row", "lo", "hi", "before", "upto", "words", "passage", "key", "place", "first"]
     later = cut(_runs(marked.where("not passage"), min_words).where("keep_run").select(*columns, "run"))
     # Passages that are repeated, apart from their first occurrence and not inside the runs.
-    apart = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("lo") <= F.col("first.hi")))
     runs = later.groupBy("id", "row", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("r")
-    rest = marked.where("passage and later").where(apart).select(*columns).alias("p")
+    rest = marked.where("passage and later").where(_apart()).select(*columns).alias("p")
     inside = (F.col("p.id").eqNullSafe(F.col("r.id")) & (F.col("p.row") == F.col("r.row")) & (F.col("p.lo") >= F.col("r.lo")) & (F.col("p.hi") <= F.col("r.hi")))
     later = cut(later.drop("run").union(rest.join(runs, inside, "left_anti")))
     # The first occurrences of those keys, for the comparison.
@@ -141,7 +147,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = marked.where("place = first").join(wanted, ["passage", "key"], "left_semi").select(*columns)
     found = cut(later.where("first is not null").union(firsts))
     extent = ["id", "row", "lo", "hi", "before", "upto", "words", "passage"]
-    checked = cut(_same_bytes(source, found).select(*extent))
+    checked = cut(_same_bytes(source, found, marked).select(*extent))
     blank = later.where("first is null").select(*extent)
     # Removal after the comparison: runs are found anew, since a chunk may have dropped out.
     runs = _runs(checked.where("not passage").union(blank).withColumn("later", F.lit(True)), min_words).where("keep_run").groupBy("id", "row", "run").agg(
@@ -176,7 +182,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Cases: a null text stays null and has no lines; blank lines alone are never removed, but
     go with the repeated lines around them; a text may become empty; rows equal in id and
-    text are one document and lose the same lines; a null id ranks last.  Other columns are
+    text are one document and lose the same lines; a null id ranks last; a text of any length,
+    or one line without end, is read whole; an empty table gives no rows.  Other columns are
     ignored.
     """
     if window < 1 or divisor < 1 or min_words < 1:
@@ -185,13 +192,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     joined = rows.join(spans, rows["_id"].eqNullSafe(spans["id"]) & (rows["_row"] == spans["row"]), "left")
-    lines = _lines(F.col("_text"))
     # What is left: the stretches of lines between the spans.
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["hi"] + 1))
-    stops = F.concat(F.transform("spans", lambda s: s["lo"]), F.array(F.size(lines)))
-    between = F.zip_with(starts, stops, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a))
-    joined = joined.withColumn("_lines", F.when(F.col("spans").isNotNull(), lines))
-    left = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(between), "\n"))
+    stops = lambda lines: F.concat(F.transform("spans", lambda s: s["lo"]), F.array(F.size(lines)))
+    between = lambda lines: F.array_join(F.flatten(F.zip_with(starts, stops(lines), lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+    left = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(_with_lines(F.col("_text"), between))
     total = lambda f: F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + f(s)), F.lit(0).cast("long"))
     count = F.when(F.col("_text").isNull(), 0).otherwise(F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"))) + 1)
     return joined.select(F.col("_id").alias(id_col), count.cast("long").alias("n_lines"), total(lambda s: s["hi"] - s["lo"] + 1).alias("removed_lines"),
