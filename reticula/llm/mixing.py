@@ -67,11 +67,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, demand: float =
 
     Returns the id, ``size`` (words), ``source_size``, ``target``, ``taken`` (words),
     ``copies``, ``position`` of the first copy and ``last_position`` of the last one (null if
-    none), and ``row`` (digest of the text), range-sorted by position.
+    none), ``source`` and ``row`` (digest of the text), range-sorted by position.
 
     Cases: null text has no words; null sources are one source, ranked last; a row without
     words is taken like others but adds nothing; repeated rows are rows of their own.  With
-    no words at all every target is 0.  Other columns are ignored.
+    no words at all every target is 0; an empty table gives no rows.  A text longer than what its
+    source may take is left out or taken whole times.  Other columns are ignored.
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
@@ -109,21 +110,28 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, demand: float =
     first = F.when(some, position(due(F.lit(0)), tilt))
     last = F.when(some, position(due(F.col("copies") - 1), tilt))
     return (placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
-                          "copies", first.alias("position"), last.alias("last_position"), "row")
+                          "copies", first.alias("position"), last.alias("last_position"), "source", "row")
             .repartitionByRange(F.col("position").asc_nulls_last(), F.col(id_col)).sortWithinPartitions(F.col("position").asc_nulls_last(), id_col))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: rows taken, repeated as often as taken, in training order; columns as given."""
-    taken = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    # Rows equal in id and text are interchangeable: the n-th of them joins the n-th.
+    """The mixed corpus: rows taken, repeated as often as taken, in training order; columns as given.
+
+    Cases: null texts and texts without words are taken as often as their source's whole passes;
+    rows equal in id, text and source are interchangeable: one stands for each that is taken;
+    null ids and sources match null ones; an empty table gives no rows.
+    """
+    planned = cut(plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options))
+    repeated = not planned.groupBy(id_col, "row", "source").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    taken = planned.where("copies > 0")
+    # Rows equal in id, text and source are interchangeable: the n-th of them joins the n-th.
     number = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    chosen = taken.select(F.col(id_col).alias("_mix_id"), F.col("row").alias("_mix_row"), "copies", "position", "last_position")
-    chosen = cut(chosen.withColumn("_mix_n", number(["_mix_id", "_mix_row"])))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    match = keyed[id_col].cast("long").eqNullSafe(chosen["_mix_id"]) & (keyed["_row_key"] == chosen["_mix_row"])
-    if not chosen.where("_mix_n > 1").isEmpty():  # only equal rows need numbers
-        keyed = keyed.withColumn("_row_n", number([F.col(id_col), F.col("_row_key")]))
+    chosen = taken.select(F.col(id_col).alias("_mix_id"), F.col("row").alias("_mix_row"), F.col("source").alias("_mix_source"), "copies", "position", "last_position")
+    chosen = cut(chosen.withColumn("_mix_n", number(["_mix_id", "_mix_row", "_mix_source"])))
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_row_source", F.col(source_col).cast("string"))
+    match = keyed[id_col].cast("long").eqNullSafe(chosen["_mix_id"]) & (keyed["_row_key"] == chosen["_mix_row"]) & keyed["_row_source"].eqNullSafe(chosen["_mix_source"])
+    if repeated:  # only equal rows need numbers
+        keyed = keyed.withColumn("_row_n", number([F.col(id_col), F.col("_row_key"), F.col("_row_source")]))
         match = match & (keyed["_row_n"] == chosen["_mix_n"])
     joined = keyed.join(chosen, match)
     copy = F.explode(F.sequence(F.lit(1), chosen["copies"].cast("int")))

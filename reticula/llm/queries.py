@@ -76,7 +76,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(_table(spark, sf_dir, "documents")).drop("row")
+    return mixing.plan(_table(spark, sf_dir, "documents")).drop("row", "source")
 
 
 QUERIES = {

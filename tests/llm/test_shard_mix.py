@@ -94,3 +94,24 @@ def test_no_document_fits_what_is_left_open(spark):
         rounds = own[0].target // own[0].source_size
         left = own[0].target - sum(g.taken for g in own)
         assert left >= 0 and all(g.size > left for g in own if g.copies == rounds)
+
+
+def test_equal_rows_match_by_source_and_number(spark):
+    from collections import Counter
+
+    text = " ".join(["w"] * 40)
+    data = [(1, text, "a"), (1, text, "b"), (1, text, "c"), (2, text, "c"), (2, text, "c"), (None, None, None), (None, text, None)]
+    data += [(10 + i, " ".join(["x"] * 30), "abc"[i % 3]) for i in range(30)]
+    df = spark.createDataFrame([(*d, 1, 2) for d in data], "doc_id long, text string, source string, copies int, position int")
+    for seed in range(3):
+        want = Counter()
+        for r in mixing.plan(df.repartition(seed + 1)).collect():
+            want[r.doc_id, r.size, r.source] += r.copies
+        got = Counter((r.doc_id, len((r.text or "").split()), r.source) for r in mixing.mix(df.repartition(seed + 1)).collect())
+        assert got == +want
+
+
+def test_a_source_of_one_long_text(spark):
+    data = [(1, " ".join(["w"] * 200_000), "big"), *[(i, "one two three", "small") for i in range(2, 200)]]
+    got = {r.doc_id: r for r in mixing.plan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert got[1].size == 200_000 and got[1].taken in (0, 200_000, 400_000) and got[1].taken <= got[1].target
