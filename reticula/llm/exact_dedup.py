@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, keep_rows
+from .common import SPACE_CLASS, cut, join_counted, keep_rows
 
 #: Characters of a block.
 BLOCK_CHARS = 4096
@@ -54,10 +54,10 @@ def identities(docs: DataFrame, text_col: str = "text", block_chars: int = BLOCK
 
     # Level 0: name the blocks.
     blocks = docs.select(F.explode(_blocks(normalised(F.col(text_col)), block_chars)).alias("_block")).select(hashed(F.col("_block")).alias("_h"), "_block")
-    distinct = blocks.groupBy("_h", "_block").agg(F.lit(1).alias("_one")).drop("_one")
-    names = cut(distinct.sortWithinPartitions("_h", "_block").select("_h", F.monotonically_increasing_id().alias("name"), F.sha2("_block", 256).alias("_sha")))
-    shared = names.groupBy("_h").agg(F.count("*").alias("_contents"), F.min("name").alias("name"))
-    symbols = spots.join(shared, "_h", "left")
+    distinct = blocks.groupBy("_h", "_block").agg(F.count("*").alias("_many"))
+    names = cut(distinct.sortWithinPartitions("_h", "_block").select("_h", F.monotonically_increasing_id().alias("name"), F.sha2("_block", 256).alias("_sha"), "_many"))
+    shared = cut(names.groupBy("_h").agg(F.count("*").alias("_contents"), F.min("name").alias("name"), F.sum("_many").alias("_many")))
+    symbols = join_counted(spots, shared, ["_h"], "_many", "left")
     if not shared.where("_contents > 1").isEmpty():
         symbols = _told_apart(docs, text_col, block_chars, hashed, rows, shared, symbols, keep)
     symbols = cut(symbols.select("uid", "_n", "_i", "name"))
@@ -74,8 +74,8 @@ def identities(docs: DataFrame, text_col: str = "text", block_chars: int = BLOCK
         pairs = (symbols.groupBy("uid", "_n", F.floor(F.col("_i") / 2).cast("int").alias("_i"))
                  .agg(F.max(F.when(even, F.col("name"))).alias("_a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("_b")))
         pairs = cut(pairs)
-        names = _named(pairs.groupBy("_a", "_b").agg(F.lit(1).alias("_one")).drop("_one"), "_a", "_b")
-        symbols = cut(pairs.join(names, ["_a", "_b"]).select("uid", F.ceil(F.col("_n") / 2).cast("int").alias("_n"), "_i", "name"))
+        names = _named(pairs.groupBy("_a", "_b").agg(F.count("*").alias("_many")), "_a", "_b")
+        symbols = cut(join_counted(pairs, names, ["_a", "_b"], "_many").select("uid", F.ceil(F.col("_n") / 2).cast("int").alias("_n"), "_i", "name"))
     found = done[0]
     for x in done[1:]:
         found = found.union(x)
@@ -109,18 +109,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     long, ``kept`` and ``text_sha256`` (of the normalised text).
 
     Cases: null text counts as empty; a null id ranks after all others; of repeated rows
-    with the smallest id one is kept.  Other columns are ignored.
+    with the smallest id one is kept; a text of any length is cut into blocks; an empty table
+    gives no rows.  Other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = cut(identities(source, "text", block_chars, hash_bits, ["id"]))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
-    groups = found.groupBy("level", "name").agg(F.min(rank).alias("_first"), F.count("*").alias("group_size"))
-    return found.join(groups, ["level", "name"]).select(
+    groups = cut(found.groupBy("level", "name").agg(F.min(rank).alias("_first"), F.count("*").alias("group_size")))
+    return join_counted(found, groups, ["level", "name"], "group_size").select(
         F.col("id").alias(id_col), F.col("_first.id").alias("keep_id"), "group_size",
         (F.col("uid") == F.col("_first.uid")).alias("kept"), "text_sha256")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep of equal texts the row with the smallest id; columns as given, text unchanged."""
+    """Keep of equal texts the row with the smallest id; columns as given, text unchanged.
+
+    Cases: as in ``exact_duplicates``; null and empty texts are equal, so one of them stays.
+    """
     groups = cut(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept"))
     return keep_rows(docs, id_col, F.sha2(normalised(F.col(text_col)), 256), groups, groups.where("kept"))
