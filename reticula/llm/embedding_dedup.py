@@ -12,9 +12,12 @@ be; only those are recomputed in double precision.
 
 Scale.  Beyond ``cell_rows`` classes the vectors are dealt to the cells of centroids
 fitted on a bounded, deterministic sample.  A vector visits another cell only if it is
-within the link distance of the plane between both centroids: no link can cross a
-plane that is farther away, so nothing is lost.  Cells are cut into tiles.  A tile
-emits link counts and a spanning star of its links, never the pairs.
+within the link distance of the plane between both centroids and of the ball that holds
+that cell: no link can cross what is farther away, so nothing is lost.  Of two cells only
+one's vectors visit the other's, and blocks of a cell meet once, so each pair is looked at
+once.  Cells are cut into tiles, whose blocks grow with the data up to a bound in bytes.
+Vectors travel in the type they came in.  A tile emits link counts and a spanning star of
+its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import cut
+from ..plans.lineage import drop
+from .common import HOT_KEYS, cut
 from .components import components
-from .tiles import HOME, forest, run_tiles, stream_tiles
+from .tiles import HOME, PROBE, forest, run_tiles, stream_tiles
 
 CELL_ROWS = 8192
-#: Bounds of the centroid fit on the driver: centroids, and sampled vectors for each.
-MAX_CELLS, SAMPLE_PER_CELL = 1024, 16
-BLOCK = 4096
+#: Bounds of the centroid fit on the driver: bytes of the centroids, sampled vectors for each.
+CENTROID_BYTES, SAMPLE_PER_CELL = 4_000_000, 8
+#: A block's rows: so many at least, 1/64 of all if that is more, within so many bytes.
+BLOCK, BLOCK_BYTES = 4096, 16_000_000
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
@@ -87,7 +93,7 @@ def _tile_kernel(threshold: float):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sizes, unit, coded, links, pending = -1, None, None, None, None, None, []
 
-        def meet(p_ids, p_sizes, p_unit, p_coded):
+        def meet(p_ids, p_sizes, p_unit, p_coded, own=False):
             for at in range(0, len(p_ids), 2048):
                 part = slice(at, at + 2048)
                 i, j = candidates(coded, tuple(x[part] for x in p_coded), threshold)
@@ -98,6 +104,10 @@ def _tile_kernel(threshold: float):
                     np.add.at(links, i, p_sizes[part][j])
                     a, b = forest(ids[i], other[j])
                     yield emit(a, [None] * len(a), b)
+                    if not own:  # the visitors' side of the links
+                        far = np.bincount(j, weights=sizes[i], minlength=len(other)).astype(np.int64)
+                        some = np.flatnonzero(far)
+                        yield emit(other[some], far[some], [None] * len(some))
 
         def close():
             some = links > 0
@@ -108,7 +118,7 @@ def _tile_kernel(threshold: float):
             nonlocal ids, sizes, unit, coded, links, pending
             ids, sizes, unit = (np.concatenate(x) for x in zip(*pending, strict=True))
             coded, links, pending = quantise(unit), np.zeros(len(ids), dtype=np.int64), []
-            yield from meet(ids, sizes, unit, coded)
+            yield from meet(ids, sizes, unit, coded, own=True)
 
         for tile, batch in stream_tiles(batches, ["_dim", "_cell", "_block"]):
             if tile != now:
@@ -135,59 +145,63 @@ def _tile_kernel(threshold: float):
 
 def _centroids(classes: DataFrame, n: int, cell_rows: int) -> dict[int, np.ndarray]:
     """Centroids by vector length, from a bounded sample in hash order."""
-    cells = min(MAX_CELLS, math.ceil(n / cell_rows))
+    longest = classes.agg(F.max("_dim").alias("d")).first()["d"] or 1
+    cells = min(CENTROID_BYTES // (8 * longest) + 1, math.ceil(n / cell_rows))
     if cells < 2:
         return {}
-    sample = classes.orderBy(F.xxhash64("vector"), "node").limit(cells * SAMPLE_PER_CELL).select("vector").collect()
-    by_dim: dict[int, list] = {}
-    for row in sample:
-        by_dim.setdefault(len(row[0]), []).append(row[0])
-    out = {}
-    for dim, rows in by_dim.items():
-        x = _unit(np.array(rows))
+    sample = classes.orderBy(F.xxhash64("vector"), "node").limit(cells * SAMPLE_PER_CELL).select("vector", "_dim").toArrow()
+    dims, out = sample.column("_dim").to_numpy(), {}
+    for dim in np.unique(dims):
+        x = _unit(_matrix(sample.filter(pa.array(dims == dim)).column("vector").combine_chunks()))
         centre = x[: min(cells, len(x))].copy()
         for _ in range(5):
             home = (x @ centre.T - (centre * centre).sum(axis=1) / 2).argmax(axis=1)
             for c in range(len(centre)):
                 if (home == c).any():
                     centre[c] = x[home == c].mean(axis=0)
-        out[dim] = np.unique(centre, axis=0)
+        out[int(dim)] = np.unique(centre, axis=0)
     return out
 
 
 def _cell_kernel(centroids: dict[int, np.ndarray], reach: float):
-    def cells(x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Home cell of each vector, its distance from the centroid, and the cells it may have to visit with the distance from theirs."""
+    def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         centre = centroids.get(x.shape[1])
         if centre is None or len(centre) < 2:
-            return np.zeros(len(x), dtype=np.int32), [[] for _ in x]
+            empty = pa.StructArray.from_arrays([pa.array([], pa.int32()), pa.array([], pa.float64())], names=["cell", "away"])
+            return np.zeros(len(x), dtype=np.int32), np.zeros(len(x)), pa.ListArray.from_arrays(pa.array(np.zeros(len(x) + 1, np.int32)), empty)
         u = _unit(x)
-        square = ((u[:, None, :] - centre[None]) ** 2).sum(axis=2) if len(u) * centre.size < 5_000_000 else (
-            (u * u).sum(axis=1)[:, None] - 2 * u @ centre.T + (centre * centre).sum(axis=1)[None])
+        square = np.maximum((u * u).sum(axis=1)[:, None] - 2 * u @ centre.T + (centre * centre).sum(axis=1)[None], 0)
         home = square.argmin(axis=1)
-        apart = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(axis=2))
+        apart = np.sqrt(((centre[home] ** 2).sum(axis=1)[:, None] - 2 * centre[home] @ centre.T + (centre * centre).sum(axis=1)[None]).clip(0))
         gap = square - square[np.arange(len(u)), home][:, None]
-        visits = gap <= 2 * (reach + 1e-6) * apart[home]
+        visits = gap <= 2 * (reach + 1e-6) * (apart + 1e-6)
+        # Of two cells one visits the other: by parity, so that every cell visits about as many as visit it.
+        other = np.arange(len(centre))[None]
+        visits &= ((other + home[:, None]) % 2 == 1) == (home[:, None] < other)
         visits[np.arange(len(u)), home] = False
-        return home.astype(np.int32), [np.flatnonzero(v).tolist() for v in visits]
+        row, cell = np.nonzero(visits)
+        pairs = pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.sqrt(square[row, cell]))], names=["cell", "away"])
+        return home.astype(np.int32), np.sqrt(square[np.arange(len(u)), home]), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(u) + 1)).astype(np.int32)), pairs)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, dims = batch.column("vector"), batch.column("_dim").to_numpy()
+            dims = batch.column("_dim").to_numpy()
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim)) if (dims != dim).any() else batch
-                for at in range(0, rows.num_rows, 2048):
-                    part = rows.slice(at, 2048)
-                    home, visits = cells(_matrix(part.column("vector")))
+                step = max(1, 2_000_000 // max(1, len(centroids.get(int(dim), ()))))
+                for at in range(0, rows.num_rows, step):
+                    part = rows.slice(at, step)
+                    home, out, visits = cells(_matrix(part.column("vector")))
                     yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c) for c in ("node", "size", "vector", "_dim")), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))],
-                        names=["node", "size", "vector", "_dim", "_home", "_visits"])
-            del vectors
+                        [*(part.column(c) for c in ("node", "size", "vector", "_dim")), pa.array(home, pa.int32()), pa.array(out), visits],
+                        names=["node", "size", "vector", "_dim", "_home", "_out", "_visits"])
 
     return kernel
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+                    cell_rows: int = CELL_ROWS, block: int | None = None) -> DataFrame:
     """Links of cosine >= ``threshold`` (double precision) between all rows.
 
     Returns a row per input row: the id column, ``n_links`` (other rows linked
@@ -198,12 +212,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links with nothing and is its own component.  Vectors of different lengths don't
     link.  Repeated rows link with one another; they share an id and so ``kept``.  A
     null id stays null, ranks after every other id, and is kept only in a component
-    without any id.  Other columns are ignored.
+    without any id.  Vectors of any length are whole; an empty table gives no rows.  Other
+    columns are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    given = vectors.schema[vector_col].dataType
+    kind = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     good = F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     grouped = rows.where(good).groupBy("vector").agg(F.count("*").alias("size"), F.min("id").alias("least"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("node"), "size", "least", "vector", F.size("vector").alias("_dim")))
@@ -211,17 +228,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     laid = classes.drop("least").mapInArrow(
         _cell_kernel(_centroids(classes, n, cell_rows), reach),
-        "node long, size long, vector array<double>, _dim int, _home int, _visits array<int>")
+        f"node long, size long, vector array<{kind}>, _dim int, _home int, _out double, _visits array<struct<cell: int, away: double>>")
     laid = cut(laid)
-    # At most MAX_CELLS rows for each vector length.
-    sizes = laid.groupBy("_dim", F.col("_home").alias("_cell")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
-    visits = laid.withColumn("_cell", F.explode(F.concat(F.array("_home"), "_visits")))
-    tiles = (visits.join(sizes, ["_dim", "_cell"]).withColumn("_own", F.expr("cast(pmod(xxhash64(node), _blocks) as int)"))
-             .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-             .withColumn("_kind", F.when((F.col("_cell") == F.col("_home")) & (F.col("_block") == F.col("_own")), 0).otherwise(1))
-             .select("_dim", "_cell", "_block", "_kind", "node", "size", "vector"))
+    # A row for each centroid: its blocks, and the ball that holds its vectors.
+    block_rows = F.lit(block) if block else F.greatest(F.lit(1), F.least(F.lit(max(BLOCK, n // 64)), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("_dim")))))
+    sizes = laid.groupBy("_dim", F.col("_home").alias("_cell")).agg(F.count("*").alias("_n"), F.max("_out").alias("_radius"))
+    sizes = cut(sizes.select("_dim", "_cell", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"), "_radius"))
+    sizes = F.broadcast(sizes) if sizes.count() <= HOT_KEYS else sizes  # rows of four numbers
+    own = F.expr("cast(pmod(xxhash64(node), _blocks) as int)")
+    there = laid.withColumnRenamed("_home", "_cell").join(sizes, ["_dim", "_cell"]).withColumn("_own", own)
+    home = there.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumn("_kind", F.when(F.col("_block") == F.col("_own"), HOME).otherwise(PROBE))
+    # Visitors that pass the ball test.
+    away = laid.select("_dim", "node", "size", "vector", F.explode("_visits").alias("_v")).select("_dim", F.col("_v.cell").alias("_cell"), "_v.away", "node", "size", "vector")
+    away = away.join(sizes, ["_dim", "_cell"]).where(F.col("away") <= F.col("_radius") + reach + 1e-6)
+    away = away.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_kind", F.lit(PROBE))
+    columns = ["_dim", "_cell", "_block", "_kind", "node", "size", "vector"]
+    tiles = home.select(*columns).union(away.select(*columns))
     found = cut(run_tiles(tiles, ["_dim", "_cell", "_block"], _tile_kernel(threshold), "node long, links long, other long"))
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    drop(laid)
     parts = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = (classes.join(links, "node", "left").join(parts, "node", "left")
              .select("node", "vector", "size", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
