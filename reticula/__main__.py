@@ -49,6 +49,10 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--seed", type=int, default=0)
     c = sub.add_parser("scanwidth", help="minimum scanwidth and extension")
     c.add_argument("file")
+    c.add_argument("-m", "--minimum", action="store_true", help="print the scanwidth")
+    c.add_argument("-e", "--extension", action="store_true", help="print the extension")
+    c.add_argument("-et", "--tree", action="store_true", help="print the extension tree with its widths")
+    c.add_argument("-pp", "--postorder", action="store_true", help="take a post-order instead of the best extension")
     c = sub.add_parser("gen", help="random binary network")
     c.add_argument("-n", type=int)
     c.add_argument("-r", type=int)
@@ -86,13 +90,19 @@ def main(argv: list[str] | None = None) -> int:
         return int(not shown)
     if o.command == "scanwidth":
         net = _load(o.file)[0]
-        found = scanwidth.best_extension(_arcs(net))
-        if not found:
-            print("too large: solve blocks with reticula.operators.scanwidth", file=sys.stderr)
-            return 2
-        print(f"scanwidth {found[0]}")
-        for node, parent, width in scanwidth.tree_and_widths(_arcs(net), found[1]):
-            print(node, net[1].get(node, ""), parent if parent is not None else "-", width)
+        arcs = _arcs(net)
+        if o.postorder:
+            order = scanwidth.any_extension(arcs)
+        else:
+            order = scanwidth.min_extension(arcs)[1]
+        rows = scanwidth.tree_and_widths(arcs, order)
+        if o.minimum or not (o.extension or o.tree):
+            print(f"scanwidth {max((w for *_, w in rows), default=0)}")
+        if o.extension:
+            print("extension", *(net[1].get(v, v) for v in order))
+        if o.tree:
+            for node, parent, width in rows:
+                print(node, net[1].get(node, ""), parent if parent is not None else "-", width)
         return 0
     if o.command == "gen":
         _, retis, leaves = generate.numbers(o.n, o.r, o.l)

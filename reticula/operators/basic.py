@@ -78,6 +78,37 @@ def incident_with(x: Column) -> Column:
     return (F.col("src") == x) | (F.col("dst") == x)
 
 
+def is_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (net_id, a, b) with ``is_edge`` (a->b) and ``adjacent`` (an arc either way)."""
+    e = edges.select("net_id", F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    forth = pairs.select("net_id", "a", "b").join(e.withColumn("_f", F.lit(True)), ["net_id", "a", "b"], "left")
+    back = e.select("net_id", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("_b"))
+    both = forth.join(back, ["net_id", "a", "b"], "left")
+    return both.select("net_id", "a", "b", F.col("_f").isNotNull().alias("is_edge"), (F.col("_f").isNotNull() | F.col("_b").isNotNull()).alias("adjacent"))
+
+
+def has_node(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (net_id, node) with ``has_node``."""
+    own = nodes(edges).withColumn("_own", F.lit(True))
+    return asked.select("net_id", "node").join(own, ["net_id", "node"], "left").select("net_id", "node", F.col("_own").isNotNull().alias("has_node"))
+
+
+def emptiness(nets: DataFrame, all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nets`` (net_id) with ``empty`` (no nodes) and ``edgeless``."""
+    n = all_nodes.select("net_id").distinct().withColumn("_n", F.lit(True))
+    e = edges.select("net_id").distinct().withColumn("_e", F.lit(True))
+    return nets.select("net_id").distinct().join(n, "net_id", "left").join(e, "net_id", "left").select(
+        "net_id", (F.col("_n").isNull() & F.col("_e").isNull()).alias("empty"), F.col("_e").isNull().alias("edgeless"))
+
+
+def common_parents(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (net_id, a, b) with the number of common parents and the smallest (null if none): by two lookups, never by listing siblings."""
+    up = lambda c: edges.select("net_id", F.col("dst").alias(c), F.col("src").alias("parent"))
+    found = pairs.select("net_id", "a", "b").join(up("a"), ["net_id", "a"]).join(up("b"), ["net_id", "b", "parent"], "left_semi")
+    n = found.groupBy("net_id", "a", "b").agg(F.count("*").alias("n_common"), F.min("parent").alias("common_parent"))
+    return pairs.select("net_id", "a", "b").join(n, ["net_id", "a", "b"], "left").select("net_id", "a", "b", F.coalesce("n_common", F.lit(0)).alias("n_common"), "common_parent")
+
+
 def with_label(df: DataFrame, labels: DataFrame, on: str = "node", name: str = "label") -> DataFrame:
     """``df`` with the label of column ``on``; '' if it has none."""
     right = labels.select("net_id", F.col("node").alias(on), F.col("label").alias(name))
@@ -158,3 +189,13 @@ def cherries(edges: DataFrame) -> DataFrame:
     deg = degree(edges).select("net_id", F.col("node").alias("dst"), "outdeg")
     per = edges.join(deg, ["net_id", "dst"]).groupBy("net_id", F.col("src").alias("node")).agg(F.count("*").alias("n_leaves"), F.max("outdeg").alias("m"))
     return per.where("m = 0 and n_leaves >= 2").select("net_id", "node", "n_leaves")
+
+
+def common_cherries(a: DataFrame, labels_a: DataFrame, b: DataFrame, labels_b: DataFrame) -> DataFrame:
+    """(net_id, labels): cherries that both networks of a net_id have, matched by their sorted leaf labels."""
+    def of(edges: DataFrame, labels: DataFrame) -> DataFrame:
+        leaves = edges.join(cherries(edges).select("net_id", F.col("node").alias("src")), ["net_id", "src"], "left_semi").select("net_id", "src", F.col("dst").alias("node"))
+        named = leaves.join(labels.where("label <> ''").select("net_id", "node", "label"), ["net_id", "node"])
+        return named.groupBy("net_id", "src").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels")).select("net_id", "labels").distinct()
+
+    return of(a, labels_a).join(of(b, labels_b), ["net_id", "labels"], "left_semi")

@@ -8,27 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, per_group
-from .recursion import tree_closure
+from .recursion import tree_facts, tree_fold
 
 
-def orders(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+def orders(edges: DataFrame) -> DataFrame:
     """(net_id, node, parent, depth, size, pre, post), siblings by node id.
 
     pre(v) is the sum over v and its ancestors below the root of 1 + the sizes of earlier
-    siblings: one window over siblings and one aggregation over the closure, no recursion.
+    siblings: a window over siblings between two folds of pointer doubling.
     """
-    c = cut(tree_closure(edges)) if closure is None else closure
-    size = c.groupBy("net_id", F.col("anc").alias("node")).agg(F.count("*").alias("size"))
-    depth = c.groupBy("net_id", "node").agg(F.max("dist").cast("long").alias("depth"))
-    facts = size.join(depth, ["net_id", "node"]).join(edges.select("net_id", F.col("dst").alias("node"), F.col("src").alias("parent")), ["net_id", "node"], "left")
+    facts = tree_facts(edges).join(edges.select("net_id", F.col("dst").alias("node"), F.col("src").alias("parent")), ["net_id", "node"], "left")
     w = Window.partitionBy("net_id", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(w), F.lit(0)))
-    facts = cut(facts.withColumn("_shift", shift))
-    pre = c.join(facts.select("net_id", F.col("node").alias("anc"), "_shift"), ["net_id", "anc"]).groupBy("net_id", "node").agg(F.sum("_shift").alias("pre"))
-    return facts.drop("_shift").join(pre, ["net_id", "node"]).select(
+    facts = cut(facts.withColumn("pre", shift.cast("long")))
+    pre = tree_fold(edges, facts.select("net_id", "node", "pre"), {}, ("pre",))
+    return facts.drop("pre").join(pre, ["net_id", "node"]).select(
         "net_id", "node", "parent", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1 - F.col("depth")).alias("post"))
 
 
+def is_preordered(ordered: DataFrame) -> DataFrame:
+    """(net_id, preordered): do node ids rise along the pre-order?  Each position meets the one before it."""
+    before = ordered.select("net_id", (F.col("pre") + 1).alias("pre"), F.col("node").alias("_before"))
+    falls = ordered.join(before, ["net_id", "pre"], "left").where("_before >= node").select("net_id").distinct().withColumn("_falls", F.lit(True))
+    return ordered.select("net_id").distinct().join(falls, "net_id", "left").select("net_id", F.col("_falls").isNull().alias("preordered"))
+
+
 def is_preordered(ordered: DataFrame) -> DataFrame:
     """(net_id, preordered): do node ids rise along the pre-order?"""
     w = Window.partitionBy("net_id").orderBy("pre")
@@ -138,6 +142,18 @@ def cartesian_tree(seq: DataFrame) -> DataFrame:
     return per_group(seq, ["seq_id"], ["i"], solve, "seq_id long, i long, parent long")
 
 
+def cartesian_rmq(seq: DataFrame, queries: DataFrame) -> DataFrame:
+    """Range minima by Cartesian tree: the minimum of [lo, hi) stands at the lowest common ancestor of its two ends."""
+    from .lca import lca_by_tour
+
+    tree = cut(cartesian_tree(seq).where("parent is not null").select(F.col("seq_id").alias("net_id"), F.col("parent").alias("src"), F.col("i").alias("dst")))
+    q = queries.where("hi > lo")
+    ends = q.select(F.col("seq_id").alias("net_id"), F.col("lo").alias("a"), (F.col("hi") - 1).alias("b"))
+    top = lca_by_tour(cut(orders(tree)), ends.where("a < b").distinct()).union(ends.where("a = b").distinct().select("net_id", "a", "b", F.col("a").alias("lca")))
+    found = top.select(F.col("net_id").alias("seq_id"), F.col("a").alias("lo"), (F.col("b") + 1).alias("hi"), F.col("lca").alias("arg"))
+    return found.join(seq.select("seq_id", F.col("i").alias("arg"), "val"), ["seq_id", "arg"]).select("seq_id", "lo", "hi", "val", "arg")
+
+
 def sorted_prefix(seq: DataFrame) -> DataFrame:
     """(seq_id, n): length of the longest sorted prefix."""
     w = Window.partitionBy("seq_id").orderBy("i")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .basic import degree, is_suppressible
-from .recursion import reach
+from .recursion import reach, rounds
 
 
 def _set(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,33 @@ def remove_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
             .join(g.withColumnRenamed("node", "dst"), ["net_id", "dst"], "left_anti").select(*edges.columns))
 
 
+def remove_node(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Remove nodes and join their parents to their children; a root goes only if one child can take its place.
+
+    ``gone`` (net_id, node): no two of them joined by an arc.  A root with several children stays.
+    """
+    deg = degree(edges).join(gone.select("net_id", "node").distinct(), ["net_id", "node"], "left_semi")
+    out = cut(deg.where("indeg > 0 or outdeg <= 1").select("net_id", "node"))
+    above = edges.join(out.withColumnRenamed("node", "dst"), ["net_id", "dst"], "left_semi").select("net_id", "src", F.col("dst").alias("node"), F.col("length").alias("l1"))
+    below = edges.join(out.withColumnRenamed("node", "src"), ["net_id", "src"], "left_semi").select("net_id", F.col("src").alias("node"), "dst", F.col("length").alias("l2"))
+    joined = above.join(below, ["net_id", "node"]).select("net_id", "src", "dst", (F.col("l1") + F.col("l2")).alias("length"))
+    return _set(remove_nodes(edges, out).union(joined.select(*edges.columns)))
+
+
+def set_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Make ``roots`` (net_id, node) the roots of their trees: the arcs from the old root down to them turn round."""
+    up = edges.select("net_id", F.col("dst").alias("node"), F.col("src").alias("above"))
+    path = at = cut(roots.select("net_id", "node").join(up, ["net_id", "node"]))
+    for _ in rounds(edges):
+        at = cut(at.select("net_id", F.col("above").alias("node")).join(up, ["net_id", "node"]))
+        if at.isEmpty():
+            break
+        path = path.union(at)
+    turned = path.select("net_id", F.col("above").alias("src"), F.col("node").alias("dst"))
+    hit = edges.join(turned.withColumn("_turn", F.lit(True)), ["net_id", "src", "dst"], "left")
+    return hit.select("net_id", F.when(F.col("_turn"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("_turn"), F.col("src")).otherwise(F.col("dst")).alias("dst"), "length")
+
+
 def replace_parent(edges: DataFrame, changes: DataFrame) -> DataFrame:
     """``changes`` (net_id, dst, old, new): arcs old->dst become new->dst."""
     c = changes.select("net_id", "dst", F.col("old").alias("src"), "new")
@@ -68,7 +95,7 @@ def suppress_unary(edges: DataFrame) -> DataFrame:
     # hop: what follows an arc's head while that is unary.
     arcs = cut(edges.select("net_id", "src", "dst", F.coalesce("length", F.lit(0.0)).alias("length")))
     hop = cut(arcs.join(unary.withColumnRenamed("node", "src"), ["net_id", "src"], "left_semi").select("net_id", F.col("src").alias("at"), F.col("dst").alias("to"), F.col("length").alias("more")))
-    while True:
+    for _ in rounds(edges, doubling=True):
         far = hop.select("net_id", F.col("at").alias("to"), F.col("to").alias("to2"), F.col("more").alias("more2"))
         nxt = cut(hop.join(far, ["net_id", "to"], "left").select("net_id", "at", F.coalesce("to2", "to").alias("to"), (F.col("more") + F.coalesce("more2", F.lit(0.0))).alias("more"), F.col("to2").isNotNull().alias("moved")))
         hop = nxt.drop("moved")

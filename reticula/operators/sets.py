@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,21 @@ def down_sets(children: dict[int, list[int]]) -> Iterator[int]:
         layer = {s | b for s in layer for b, below in need.items() if not s & b and below & s == below}
 
 
-def kth_member(k: int) -> Column:
-    """The k-th smallest (from 0) element of an array column ``items``."""
-    return F.element_at(F.array_sort("items"), k + 1)
+def kth_member(sets: DataFrame, k: int) -> DataFrame:
+    """(set_id, item): the k-th smallest (from 0) item of every set that has so many."""
+    n = F.row_number().over(Window.partitionBy("set_id").orderBy("item"))
+    return sets.withColumn("_n", n).where(F.col("_n") == k + 1).select("set_id", "item")
+
+
+def of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, item, in_a, in_b): the members of both sets of each pair."""
+    side = lambda c: pairs.join(sets.select(F.col("set_id").alias(c), "item"), c).select("a", "b", "item", F.lit(c == "a").alias("in_a"), F.lit(c == "b").alias("in_b"))
+    return side("a").union(side("b")).groupBy("a", "b", "item").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+
+
+def merge_sorted(parts: list[DataFrame], order: list[str]) -> DataFrame:
+    """The rows of all tables in one order, by ranges of the order: no table is gathered."""
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionByName(x)
+    return whole.repartitionByRange(*order).sortWithinPartitions(*order)

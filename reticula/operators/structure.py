@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from .basic import degree
 from .order import orders
-from .recursion import closure, connected, layers, tree_closure
+from .recursion import closure, connected, layers, longest_layers, rounds, tree_closure, tree_fold
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,12 @@ def bridges(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.select("net_id", "src", "dst"))
     tree = cut(e.groupBy("net_id", "dst").agg(F.min("src").alias("src")).select("net_id", "src", "dst"))
-    up = cut(tree_closure(tree))
-    o = cut(orders(tree, up).select("net_id", "node", "pre", "size"))
+    o = cut(orders(tree).select("net_id", "node", "pre", "size"))
     rest = e.join(tree, ["net_id", "src", "dst"], "left_anti")
     ends = rest.select("net_id", F.col("src").alias("node"), F.col("dst").alias("other")).union(rest.select("net_id", "dst", "src"))
     seen = ends.join(o.select("net_id", F.col("node").alias("other"), F.col("pre").alias("p")), ["net_id", "other"]).select("net_id", "node", "p")
     seen = seen.groupBy("net_id", "node").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    sub = up.join(seen, ["net_id", "node"]).groupBy("net_id", F.col("anc").alias("node")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sub = tree_fold(tree, o.select("net_id", "node").join(seen, ["net_id", "node"], "left"), {"lo": "min", "hi": "max"})
     facts = o.join(sub, ["net_id", "node"], "left")
     clear = (F.coalesce("lo", "pre") >= F.col("pre")) & (F.coalesce("hi", "pre") < F.col("pre") + F.col("size"))
     return tree.join(facts.where(clear).select("net_id", F.col("node").alias("dst")), ["net_id", "dst"]).select("net_id", "src", "dst")
@@ -74,7 +73,7 @@ def component_facts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaves = deg.where("outdeg = 0 and indeg <= 1").select("net_id", "node", F.lit(False).alias("is_root"))
     frontier = cut(roots.union(leaves).select("net_id", "node", "is_root", F.col("node").alias("via")))
     met = None
-    while True:
+    for _ in rounds(edges):
         step = frontier.join(up, ["net_id", "via"]).select("net_id", "node", "is_root", F.col("up").alias("via")).distinct()
         hit = cut(step.join(comp.select("net_id", F.col("node").alias("via"), "comp"), ["net_id", "via"], "left"))
         part = hit.where("comp is not null").select("net_id", "node", "is_root", "comp")
@@ -91,16 +90,16 @@ def component_facts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dominators(edges: DataFrame) -> DataFrame:
     """(net_id, node, dom): every dominator of every node, itself included, layer by layer:
     a node's are what dominates all of its parents."""
-    layer = cut(layers(edges))
+    layer = cut(longest_layers(edges))
     deg = degree(edges).select("net_id", "node", "indeg")
     depth = layer.agg(F.max("layer")).first()[0] or 0
-    into = cut(edges.join(layer.join(deg, ["net_id", "node"]).select("net_id", F.col("node").alias("dst"), "layer", "indeg"), ["net_id", "dst"]).select("net_id", "src", "dst", "layer", "indeg"))
-    dom = cut(layer.where("layer = 0").select("net_id", "node", F.col("node").alias("dom")))
+    into = cut(edges.join(layer.join(deg, ["net_id", "node"]).select("net_id", F.col("node").alias("dst"), "layer", "indeg"), ["net_id", "dst"]).select("net_id", "src", "dst", "layer", "indeg"), by="layer")
+    own = layer.select("net_id", "node", F.col("node").alias("dom"), "layer")
+    dom = cut(own.where("layer = 0").drop("layer"))
     for k in range(1, depth + 1):
         step = into.where(F.col("layer") == k)
         shared = step.join(dom.withColumnRenamed("node", "src"), ["net_id", "src"]).groupBy("net_id", "dst", "dom").agg(F.count("*").alias("n"), F.max("indeg").alias("d")).where("n = d")
-        own = layer.where(F.col("layer") == k).select("net_id", "node", F.col("node").alias("dom"))
-        dom = cut(dom.union(shared.select("net_id", F.col("dst").alias("node"), "dom")).union(own))
+        dom = dom.union(cut(shared.select("net_id", F.col("dst").alias("node"), "dom").union(own.where(F.col("layer") == k).drop("layer"))))
     return dom
 
 

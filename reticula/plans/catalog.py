@@ -70,11 +70,68 @@ def _class_query(name: str, predicate, sql: str):
 for _name, _pred, _sql in (
     ("leaves", basic.is_leaf, "outdeg = 0"), ("reticulations", basic.is_reticulation, "indeg >= 2"), ("roots", basic.is_root, "indeg = 0"),
     ("inner_tree_nodes", basic.is_inner_tree_node, "indeg = 1 AND outdeg > 0"), ("suppressible_nodes", basic.is_suppressible, "indeg = 1 AND outdeg = 1"),
-    ("tree_nodes", basic.is_tree_node, "indeg = 1"), ("junctions", basic.is_junction, "indeg > 1 AND outdeg > 1"),
+    ("tree_nodes", basic.is_tree_node, "indeg = 1"),
 ):
     _class_query(_name, _pred, _sql)
 
 
+def _with_first_region(s, d):
+    """Lattices with an arc from every nation to the smallest region of its network: nations of several suppliers become junctions."""
+    e = fx.lattices(s, d)
+    nations = e.where("src between 2000000000000 and 2999999999999")
+    first = nations.groupBy("net_id").agg(F.min("dst").alias("first"))
+    return e.union(nations.join(first, "net_id").select("net_id", "src", "first", "length")).distinct()
+
+
+_FJ = FD + ", fj AS (SELECT * FROM fd UNION SELECT net_id, n, m FROM fd0 JOIN (SELECT net_id, min(r) AS m FROM fd0 GROUP BY net_id) USING (net_id))"
+
+
+@query(f"""WITH {FD}, p AS (SELECT DISTINCT net_id, s AS a, n AS b FROM (SELECT x.net_id, x.s, y.n FROM fd0 x JOIN fd0 y ON y.net_id = x.net_id)) SELECT p.net_id, a, b, EXISTS (SELECT 1 FROM fd WHERE fd.net_id = p.net_id AND src = a AND dst = b) AS is_edge,
+    EXISTS (SELECT 1 FROM fd WHERE fd.net_id = p.net_id AND ((src = a AND dst = b) OR (src = b AND dst = a))) AS adjacent FROM p""")
+def edge_tests(s, d):
+    """Every supplier against every nation of its network."""
+    e = cut(fx.lattices(s, d))
+    suppliers = e.where("src = 0").select("net_id", F.col("dst").alias("a"))
+    nations = e.where("dst between 2000000000000 and 2999999999999").select("net_id", F.col("dst").alias("b")).distinct()
+    return basic.is_edge(e, suppliers.join(nations, "net_id"))
+
+
+@query(f"WITH {FD}, q AS (SELECT DISTINCT net_id, 1000000000000 + r_regionkey AS node FROM fd, region) SELECT net_id, node, EXISTS (SELECT 1 FROM fd WHERE fd.net_id = q.net_id AND dst = node) AS has_node FROM q")
+def has_node(s, d):
+    e = cut(fx.lattices(s, d))
+    regions = fx.table(s, d, "region").agg(F.collect_list(fx.node(fx.REGION, "r_regionkey")).alias("all"))  # one row of five
+    return basic.has_node(e, e.select("net_id").distinct().join(F.broadcast(regions)).select("net_id", F.explode("all").alias("node")))
+
+
+@query(f"WITH {FD} SELECT o_orderkey AS net_id, o_orderkey NOT IN (SELECT net_id FROM fd) AS empty, o_orderkey NOT IN (SELECT net_id FROM fd) AS edgeless FROM orders")
+def empty_networks(s, d):
+    e = cut(fx.lattices(s, d))
+    return basic.emptiness(fx.table(s, d, "orders").select(F.col("o_orderkey").alias("net_id")), basic.nodes(e), e)
+
+
+@query(f"""WITH {FD}, p AS (SELECT DISTINCT x.net_id, x.n AS a, y.n AS b FROM fd0 x JOIN fd0 y ON y.net_id = x.net_id AND y.n > x.n), up AS (SELECT DISTINCT net_id, dst, src FROM fd)
+    SELECT p.net_id, p.a, p.b, count(y.src) AS n_common, min(y.src) AS common_parent FROM p JOIN up x ON x.net_id = p.net_id AND x.dst = p.a LEFT JOIN up y ON y.net_id = p.net_id AND y.dst = p.b AND y.src = x.src GROUP BY 1, 2, 3""")
+def common_parents(s, d):
+    e = cut(fx.lattices(s, d))
+    nations = e.where("dst between 2000000000000 and 2999999999999").select("net_id", "dst").distinct()
+    pairs = nations.select("net_id", F.col("dst").alias("a")).join(nations.select("net_id", F.col("dst").alias("b")), "net_id").where("a < b")
+    return basic.common_parents(e, pairs)
+
+
+@query("""WITH c AS (SELECT user_id, ts::DATE AS day, string_agg(event_type, ',' ORDER BY event_type) AS labels, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, labels FROM c WHERE n >= 2)
+    SELECT x.user_id AS net_id, x.labels FROM u x JOIN u y ON y.user_id = x.user_id + 1 AND y.labels = x.labels""")
+def common_cherries(s, d):
+    """Cherries of each user's tree that the next user's tree has, too."""
+    e, n = fx.event_trees(s, d)
+    shift = lambda df: df.withColumn("net_id", F.col("net_id") - 1)
+    return basic.common_cherries(e, n, shift(e), shift(n))
+
+
+@query(f"WITH {_FJ}, {DEGN.format(t='fj')} SELECT net_id, node FROM deg WHERE indeg > 1 AND outdeg > 1")
+def junctions(s, d):
+    return basic.degree(_with_first_region(s, d)).where(basic.is_junction()).select("net_id", "node")
+
+
 @query(f"WITH {FD} SELECT net_id, node FROM (SELECT net_id, src AS node FROM fd UNION SELECT net_id, dst FROM fd)")
 def all_nodes(s, d):
     return basic.nodes(fx.lattices(s, d))
@@ -111,9 +168,9 @@ def labeled_leaves(s, d):
 _GEO_LABELS = "lab AS (SELECT 1000000000000 + r_regionkey AS node, r_name AS label FROM region UNION ALL SELECT 2000000000000 + n_nationkey, n_name FROM nation UNION ALL SELECT 3000000000000 + c_custkey, c_name FROM customer)"
 
 
-@query(f"WITH {FB}, {_GEO_LABELS} SELECT src, dst, coalesce(a.label, '') AS src_label, coalesce(b.label, '') AS dst_label, 0.0::DOUBLE AS length FROM fb LEFT JOIN lab a ON a.node = src LEFT JOIN lab b ON b.node = dst")
+@query(f"WITH {FB}, {_GEO_LABELS} SELECT src, dst, coalesce(a.label, '') AS src_label, coalesce(b.label, '') AS dst_label, (dst % 1000) / 4.0::DOUBLE AS length FROM fb LEFT JOIN lab a ON a.node = src LEFT JOIN lab b ON b.node = dst")
 def labeled_branches(s, d):
-    return basic.labelled_branches(fx.geo_tree(s, d), fx.geo_labels(s, d)).select("src", "dst", "src_label", "dst_label", "length")
+    return basic.labelled_branches(fx.geo_tree(s, d).withColumn("length", F.col("dst") % 1000 / 4), fx.geo_labels(s, d)).select("src", "dst", "src_label", "dst_label", "length")
 
 
 @query(f"""WITH {FD}, ends AS (SELECT net_id, src AS node, dst AS c, NULL::BIGINT AS p FROM fd UNION ALL SELECT net_id, dst, NULL, src FROM fd)
@@ -173,9 +230,13 @@ def leaf_label_matching(s, d):
     return basic.label_matching(own.where("net_id % 2 = 1"), own.where("net_id % 2 = 0"))
 
 
-@query(_MATCH + " SELECT label, 'guest only' AS side FROM (SELECT label FROM b EXCEPT SELECT label FROM a) UNION ALL SELECT label, 'host only' FROM (SELECT label FROM a EXCEPT SELECT label FROM b)")
+@query("""WITH m AS (SELECT min(p_name) AS lo, max(p_name) AS hi FROM part), a AS (SELECT p_name AS label FROM part, m WHERE p_brand < 'Brand#3' AND p_name > lo), b AS (SELECT p_name AS label FROM part, m WHERE p_brand >= 'Brand#3' AND p_name < hi)
+    SELECT label, 'guest only' AS side FROM (SELECT label FROM b EXCEPT SELECT label FROM a) UNION ALL SELECT label, 'host only' FROM (SELECT label FROM a EXCEPT SELECT label FROM b)""")
 def label_cleanup(s, d):
-    return basic.label_clean_up(*_halves(s, d))
+    """The host lacks the first of all labels, the guest the last."""
+    a, b = _halves(s, d)
+    ends = F.broadcast(fx.table(s, d, "part").agg(F.min("p_name").alias("lo"), F.max("p_name").alias("hi")))  # one row
+    return basic.label_clean_up(a.join(ends, F.col("label") > F.col("lo")), b.join(ends, F.col("label") < F.col("hi")))
 
 
 def _with_shortcuts(s, d):
@@ -218,21 +279,20 @@ def set_pairs(s, d):
     return sets.pairwise(h, pairs)
 
 
-_TWO = FH + ", m AS (SELECT min(set_id) AS lo, max(set_id) AS hi FROM fh), a AS (SELECT item FROM fh, m WHERE set_id = lo), b AS (SELECT item FROM fh, m WHERE set_id = hi)"
-
+def _next_sets(h: DataFrame) -> DataFrame:
+    ids = h.select("set_id").distinct()
+    return ids.select(F.col("set_id").alias("a"), (F.col("set_id") + 1).alias("b")).join(ids.select(F.col("set_id").alias("b")), "b", "left_semi").select("a", "b")
 
-def _two(s, d):
-    h = fx.supplier_parts(s, d)
-    ends = h.agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
-    both = h.join(F.broadcast(ends), (F.col("set_id") == F.col("lo")) | (F.col("set_id") == F.col("hi")))
-    return both.where("set_id = lo").select("item"), both.where("set_id = hi").select("item")
 
+_TWO = FH + ", p AS (SELECT DISTINCT set_id AS a, set_id + 1 AS b FROM fh WHERE set_id + 1 IN (SELECT set_id FROM fh)), x AS (SELECT a, b, item FROM p JOIN fh ON set_id = a), y AS (SELECT a, b, item FROM p JOIN fh ON set_id = b)"
+for _name, _cond, _sql in (("set_intersect", "in_a and in_b", "SELECT * FROM x INTERSECT SELECT * FROM y"), ("set_union", "in_a or in_b", "SELECT * FROM x UNION SELECT * FROM y"),
+                           ("set_except", "in_a and not in_b", "SELECT * FROM x EXCEPT SELECT * FROM y"),
+                           ("set_symdiff", "in_a <> in_b", "(SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL (SELECT * FROM y EXCEPT SELECT * FROM x)")):
+    def _members(s, d, cond=_cond):
+        h = cut(fx.supplier_parts(s, d))
+        return sets.of_pairs(h, _next_sets(h)).where(cond).select("a", "b", "item")
 
-for _name, _op, _sql in (("set_intersect", sets.intersect, "SELECT item FROM a INTERSECT SELECT item FROM b"), ("set_union", sets.union, "SELECT item FROM a UNION SELECT item FROM b"),
-                         ("set_except", sets.difference, "SELECT item FROM a EXCEPT SELECT item FROM b"),
-                         ("set_symdiff", sets.symmetric_difference, "(SELECT item FROM a EXCEPT SELECT item FROM b) UNION ALL (SELECT item FROM b EXCEPT SELECT item FROM a)")):
-    QUERIES[_name] = lambda s, d, op=_op: op(*_two(s, d))
-    ORACLES[_name] = f"WITH {_TWO} {_sql}"
+    QUERIES[_name], ORACLES[_name] = _members, f"WITH {_TWO} {_sql}"
 
 
 @query(f"WITH {FH} SELECT s_suppkey AS set_id, (SELECT count(*) FROM part) - count(item) AS n_missing FROM supplier LEFT JOIN fh ON set_id = s_suppkey GROUP BY s_suppkey")
@@ -248,15 +308,20 @@ def set_facts(s, d):
 
 @query(f"WITH {FH} SELECT set_id, list_sort(list(item))[3] AS third FROM fh GROUP BY set_id")
 def kth_member(s, d):
-    w = Window.partitionBy("set_id").orderBy("item")
-    return fx.supplier_parts(s, d).withColumn("_n", F.row_number().over(w)).where("_n = 3").select("set_id", F.col("item").alias("third"))
+    return sets.kth_member(fx.supplier_parts(s, d), 2).withColumnRenamed("item", "third")
+
+
+@query("""SELECT c_custkey AS key, 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT p_partkey, 'part', p_name FROM part""")
+def merge_sorted(s, d):
+    part = lambda name, c: fx.table(s, d, name).select(F.col(f"{c}key").alias("key"), F.lit(name).alias("kind"), F.col(f"{c[0]}_name").alias("name"))
+    return sets.merge_sorted([part("customer", "c_cust"), part("supplier", "s_supp"), part("part", "p_part")], ["key", "kind"])
 
 
 # ---- traversal -------------------------------------------------------------------------------
 
 @query(f"WITH RECURSIVE {FB}, {CLOSURE} SELECT node, max(dist) AS depth FROM up GROUP BY node")
 def depth(s, d):
-    return recursion.tree_closure(fx.geo_tree(s, d)).groupBy("node").agg(F.max("dist").alias("depth"))
+    return recursion.tree_facts(fx.geo_tree(s, d)).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 @query(f"WITH RECURSIVE {FB}, {CLOSURE} SELECT node, anc, dist FROM up")
@@ -266,7 +331,7 @@ def ancestors(s, d):
 
 @query(f"WITH RECURSIVE {FB}, {CLOSURE} SELECT anc AS node, count(*) AS size FROM up GROUP BY anc")
 def subtree_size(s, d):
-    return recursion.tree_closure(fx.geo_tree(s, d)).groupBy(F.col("anc").alias("node")).agg(F.count("*").alias("size"))
+    return recursion.tree_facts(fx.geo_tree(s, d)).select("node", "size")
 
 
 @query(f"WITH RECURSIVE {FB}, {CLOSURE}, {WALK}, {ORDERED} SELECT node, pre FROM ord")
@@ -401,12 +466,24 @@ def rmq_blocks(s, d):
     return order.block_rmq(cut(fx.event_sequences(s, d)), _ranges(s, d))
 
 
+@query(_RMQ)
+def rmq_naive(s, d):
+    q = cut(_ranges(s, d))
+    return order.all_intervals(cut(fx.event_sequences(s, d))).join(q, ["seq_id", "lo", "hi"])
+
+
+@query(_RMQ)
+def rmq_cartesian(s, d):
+    return order.cartesian_rmq(cut(fx.event_sequences(s, d)), _ranges(s, d))
+
+
 @query(f"""WITH {FG} SELECT x.seq_id, x.i, max(y.i) FILTER (y.i < x.i) AS prev, min(y.i) FILTER (y.i > x.i) AS next FROM fg x LEFT JOIN fg y ON y.seq_id = x.seq_id AND y.val < x.val GROUP BY x.seq_id, x.i""")
 def nearest_smaller(s, d):
     return order.nearest_smaller(fx.event_sequences(s, d))
 
 
-@query()
+@query(f"""WITH {FG}, n AS (SELECT x.seq_id, x.i, max(y.i) FILTER (y.i < x.i AND y.val <= x.val) AS l, min(y.i) FILTER (y.i > x.i AND y.val < x.val) AS r FROM fg x LEFT JOIN fg y ON y.seq_id = x.seq_id GROUP BY x.seq_id, x.i)
+    SELECT n.seq_id, n.i, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN a.val > b.val THEN l ELSE r END AS parent FROM n LEFT JOIN fg a ON a.seq_id = n.seq_id AND a.i = l LEFT JOIN fg b ON b.seq_id = n.seq_id AND b.i = r""")
 def cartesian_tree(s, d):
     return order.cartesian_tree(fx.event_sequences(s, d))
 
@@ -416,14 +493,14 @@ def sorted_prefix(s, d):
     return order.sorted_prefix(fx.event_sequences(s, d))
 
 
-@query(f"""WITH RECURSIVE {FB}, {CLOSURE}, {WALK}, own AS (SELECT node, row_number() OVER (ORDER BY path) AS r FROM walk WHERE node >= 5000000000000 AND node % 7 = 0),
+@query(f"""WITH RECURSIVE {FB}, {CLOSURE}, {WALK}, own AS (SELECT node, row_number() OVER (ORDER BY path) AS r FROM walk WHERE node >= 5000000000000),
     p AS (SELECT x.node AS a, y.node AS b FROM own x JOIN own y ON y.r = x.r + 1), l AS (SELECT a, b, arg_min(x.anc, x.dist) AS node FROM p JOIN up x ON x.node = a JOIN up y ON y.node = b AND y.anc = x.anc GROUP BY a, b),
     kept AS (SELECT node FROM l UNION SELECT node FROM own) SELECT arg_min(anc, dist) AS src, node AS dst FROM up WHERE dist > 0 AND node IN (SELECT node FROM kept) AND anc IN (SELECT node FROM kept) GROUP BY node""")
 def induced_subtree(s, d):
     e = fx.geo_tree(s, d)
     c = cut(recursion.tree_closure(e))
-    chosen = fx.table(s, d, "orders").select(F.lit(0).cast("long").alias("net_id"), fx.node(fx.ORDER, "o_orderkey").alias("node")).where("node % 7 = 0")
-    return lca.induced_subtree(cut(order.orders(e, c)), c, chosen).select("src", "dst")
+    chosen = fx.table(s, d, "orders").select(F.lit(0).cast("long").alias("net_id"), fx.node(fx.ORDER, "o_orderkey").alias("node"))
+    return lca.induced_subtree(cut(order.orders(e)), c, chosen).select("src", "dst")
 
 
 # ---- structure -------------------------------------------------------------------------------
@@ -468,6 +545,14 @@ def connected_components(s, d):
     return recursion.connected(e, basic.nodes(e))
 
 
+@query(f"""WITH RECURSIVE {FD}, e AS (SELECT net_id, src, dst FROM fd WHERE src > 0), u AS (SELECT net_id, src AS a, dst AS b FROM e UNION ALL SELECT net_id, dst, src FROM e),
+    c AS (SELECT net_id, a AS node, a AS other FROM u UNION SELECT c.net_id, c.node, u.b FROM c JOIN u ON u.net_id = c.net_id AND u.a = c.other), m AS (SELECT net_id, node, min(other) AS comp FROM c GROUP BY net_id, node)
+    SELECT net_id, comp, count(*) AS n_nodes FROM m GROUP BY net_id, comp""")
+def component_sizes(s, d):
+    e = cut(fx.lattices(s, d).where("src > 0"))
+    return recursion.component_sizes(e, basic.nodes(e))
+
+
 @query(f"""WITH RECURSIVE {FD}, {DEGN.format(t='fd')}, inn AS (SELECT net_id, node FROM deg WHERE outdeg > 0 AND indeg <= 1), arc AS (SELECT fd.net_id, src, dst FROM fd JOIN inn a ON a.net_id = fd.net_id AND a.node = src JOIN inn b ON b.net_id = fd.net_id AND b.node = dst),
     t AS (SELECT net_id, node, node AS comp FROM inn WHERE NOT EXISTS (SELECT 1 FROM arc WHERE arc.net_id = inn.net_id AND arc.dst = inn.node) UNION ALL SELECT t.net_id, arc.dst, t.comp FROM t JOIN arc ON arc.net_id = t.net_id AND arc.src = t.node)
     SELECT net_id, node, comp FROM t""")
@@ -482,9 +567,20 @@ _COMP = f"""WITH RECURSIVE {FD}, {DEGN.format(t='fd')}, inn AS (SELECT net_id, n
     met AS (SELECT DISTINCT w.net_id, w.node, w.is_root, t.comp FROM w JOIN t ON t.net_id = w.net_id AND t.node = w.at)"""
 
 
-@query(_COMP + " SELECT net_id, comp AS src, node AS dst FROM met WHERE is_root")
+def _with_leaves(s, d):
+    """Lattices with two leaves below every region: regions of one nation start components below reticulations."""
+    e = fx.lattices(s, d)
+    regions = e.where("dst < 2000000000000").select("net_id", "dst").distinct()
+    more = regions.select("net_id", F.col("dst").alias("src"), F.explode(F.array(F.col("dst") + 20 * fx.UNIT, F.col("dst") + 30 * fx.UNIT)).alias("dst"), F.lit(None).cast("double").alias("length"))
+    return e.union(more)
+
+
+_FK = FD.replace("fd AS (SELECT net_id, 0", "fdx AS (SELECT net_id, 0") + ", fd AS (SELECT * FROM fdx UNION ALL SELECT DISTINCT net_id, r, r + 20000000000000 FROM fd0 UNION ALL SELECT DISTINCT net_id, r, r + 30000000000000 FROM fd0)"
+
+
+@query(_COMP.replace(FD, _FK) + " SELECT net_id, comp AS src, node AS dst FROM met WHERE is_root")
 def component_dag(s, d):
-    return structure.component_facts(cut(fx.lattices(s, d)))[0]
+    return structure.component_facts(cut(_with_leaves(s, d)))[0]
 
 
 @query(_COMP + ", one AS (SELECT net_id, node, min(comp) AS comp FROM met WHERE NOT is_root GROUP BY net_id, node HAVING min(comp) = max(comp)) SELECT net_id, comp, min(node) AS leaf FROM one GROUP BY net_id, comp")
@@ -547,13 +643,25 @@ def replace_child(s, d):
     return rewrite.replace_child(e, e.where("src = 0").select("net_id", "src", F.col("dst").alias("old"), (F.col("dst") + 10**9).alias("new"))).select("net_id", "src", "dst")
 
 
-@query(f"""WITH {FB}, gone AS (SELECT 5000000000000 + o_orderkey AS node FROM orders), e AS (SELECT * FROM fb WHERE dst NOT IN (SELECT node FROM gone) AND NOT (dst BETWEEN 3000000000000 AND 3999999999999 AND dst IN (SELECT 3000000000000 + o_custkey FROM orders))),
-    f AS (SELECT * FROM e WHERE NOT (dst BETWEEN 2000000000000 AND 2999999999999 AND dst NOT IN (SELECT src FROM e)) OR dst NOT IN (SELECT src FROM fb)), g AS (SELECT * FROM f WHERE NOT (dst BETWEEN 1000000000000 AND 1999999999999 AND dst NOT IN (SELECT src FROM f)) OR dst NOT IN (SELECT src FROM fb)) SELECT src, dst FROM g""")
+@query(f"""WITH {FB}, e AS (SELECT * FROM fb WHERE dst NOT IN (SELECT 5000000000000 + o_orderkey FROM orders WHERE o_orderstatus = 'F')), f AS (SELECT * FROM e WHERE dst NOT IN (SELECT src FROM fb EXCEPT SELECT src FROM e)),
+    g AS (SELECT * FROM f WHERE dst NOT IN (SELECT src FROM fb EXCEPT SELECT src FROM f)), h AS (SELECT * FROM g WHERE dst NOT IN (SELECT src FROM fb EXCEPT SELECT src FROM g)) SELECT src, dst FROM h""")
 def remove_upwards(s, d):
-    gone = fx.table(s, d, "orders").select(F.lit(0).cast("long").alias("net_id"), fx.node(fx.ORDER, "o_orderkey").alias("node"))
+    gone = fx.table(s, d, "orders").where("o_orderstatus = 'F'").select(F.lit(0).cast("long").alias("net_id"), fx.node(fx.ORDER, "o_orderkey").alias("node"))
     return rewrite.remove_upwards(fx.geo_tree(s, d), gone).select("src", "dst")
 
 
+@query(f"WITH {FD} SELECT DISTINCT net_id, src, n AS dst FROM (SELECT net_id, 0::BIGINT AS src, n FROM fd0 UNION SELECT net_id, n, r FROM fd0)")
+def remove_node(s, d):
+    e = cut(fx.lattices(s, d))
+    return rewrite.remove_node(e, e.where("src = 0").select("net_id", F.col("dst").alias("node"))).select("net_id", "src", "dst")
+
+
+@query(f"""WITH {FB}, m AS (SELECT min(n_nationkey) AS k, arg_min(n_regionkey, n_nationkey) AS r FROM nation), path AS (SELECT 0::BIGINT AS src, 1000000000000 + r AS dst FROM m UNION ALL SELECT 1000000000000 + r, 2000000000000 + k FROM m)
+    SELECT src, dst FROM fb EXCEPT SELECT src, dst FROM path UNION ALL SELECT dst, src FROM path""")
+def set_root(s, d):
+    return rewrite.set_root(fx.geo_tree(s, d), _first_nation(s, d)).select("src", "dst")
+
+
 @query(f"WITH {FD} SELECT net_id, src, dst FROM fd WHERE src > 0 OR dst % 2 = 0 UNION SELECT net_id, 0, dst FROM fd WHERE src > 0 AND dst < 2000000000000")
 def add_remove_edges(s, d):
     e = cut(fx.lattices(s, d))
@@ -591,18 +699,26 @@ def newick_write(s, d):
     return newick.canonical_newick(*_nation_trees(s, d))
 
 
-@query(f"WITH {FD}, n AS (SELECT net_id, node FROM (SELECT net_id, src AS node FROM fd UNION SELECT net_id, dst FROM fd)) SELECT net_id, (SELECT count(*) FROM fd WHERE fd.net_id = n.net_id) AS n_edges, count(*) AS n_nodes FROM n GROUP BY net_id")
+def _by_name(parsed: DataFrame) -> DataFrame:
+    """Arcs between the names of nodes, which are their ids here."""
+    names = newick.labels_of(parsed)
+    at = lambda c: names.select("net_id", F.col("node").alias(c), F.col("label").cast("long").alias(f"_{c}"))
+    return newick.edges_of(parsed).join(at("src"), ["net_id", "src"]).join(at("dst"), ["net_id", "dst"]).select("net_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "length")
+
+
+@query(f"WITH {FD} SELECT net_id, src, dst, (dst % 1000) / 4.0::DOUBLE AS length FROM fd")
 def newick_roundtrip(s, d):
-    text = newick.write_networks(fx.lattices(s, d), fx.lattice_labels(s, d))
-    e = newick.edges_of(newick.parse_table(text.select("net_id", F.col("newick").alias("value"))))
-    both = e.select("net_id", "src", "dst", F.explode(F.array("src", "dst")).alias("node"))
-    return both.groupBy("net_id").agg(F.count_distinct("src", "dst").alias("n_edges"), F.count_distinct("node").alias("n_nodes"))
+    e = cut(fx.lattices(s, d).withColumn("length", F.col("dst") % 1000 / 4))
+    labels = basic.nodes(e).select("net_id", "node", F.col("node").cast("string").alias("label"))
+    text = newick.write_networks(e, labels)
+    return _by_name(cut(newick.parse_table(text.select("net_id", F.col("newick").alias("value")))))
 
 
-@query(f"WITH {FD} SELECT net_id, count(*) AS n_edges FROM fd GROUP BY net_id")
+@query(f"WITH {FD} SELECT net_id, src, dst, (dst % 1000) / 4.0::DOUBLE AS length FROM fd")
 def edgelist_parse(s, d):
-    lines = fx.lattices(s, d).groupBy("net_id").agg(F.array_join(F.collect_list(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"))), "\n").alias("value"))
-    return newick.edges_of(newick.parse_table(lines, newick.parse_edgelist)).groupBy("net_id").agg(F.count("*").alias("n_edges"))
+    line = F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), (F.col("dst") % 1000 / 4).cast("string"))
+    lines = fx.lattices(s, d).groupBy("net_id").agg(F.array_join(F.collect_list(line), "\n").alias("value"))
+    return _by_name(cut(newick.parse_table(lines, newick.parse_edgelist)))
 
 
 # ---- isomorphism -----------------------------------------------------------------------------
@@ -616,13 +732,29 @@ def tree_isomorphism_classes(s, d):
     return c.join(c.groupBy("newick").agg(F.count("*").alias("n_same")), "newick").select("net_id", "newick", "n_same")
 
 
-@query()
+#: Lattices are isomorphic if their regions have nations of the same numbers of suppliers.
+_CANON = """k AS (SELECT net_id, r, n, count(*) AS k FROM fd0 GROUP BY net_id, r, n), t AS (SELECT net_id, r, string_agg(k::VARCHAR, ',' ORDER BY k) AS t FROM k GROUP BY net_id, r),
+    canon AS (SELECT net_id, string_agg(r::VARCHAR || ':' || t, ';' ORDER BY r) AS c FROM t GROUP BY net_id)"""
+
+
+@query(f"WITH {FD}, {_CANON} SELECT count(*) AS n, min(net_id) AS first FROM canon GROUP BY c")
 def color_refinement(s, d):
     e = fx.lattices(s, d)
-    return iso.signatures(e, fx.lattice_labels(s, d)).groupBy("signature").agg(F.count("*").alias("n"), F.min("net_id").alias("first"))
+    return iso.signatures(e, fx.lattice_labels(s, d)).groupBy("signature").agg(F.count("*").alias("n"), F.min("net_id").alias("first")).select("n", "first")
 
 
-@query()
+@query(f"""WITH {FD}, {_CANON}, f AS (SELECT net_id AS b, min(net_id) OVER (PARTITION BY c) AS a FROM canon) SELECT a, b, count(DISTINCT node) AS n_nodes, true AS same_leaves FROM f JOIN (SELECT net_id, src AS node FROM fd UNION SELECT net_id, dst FROM fd) n ON n.net_id = b WHERE a <> b GROUP BY a, b""")
+def isomorphism_mapping(s, d):
+    """Every network mapped from the first of its class: as many nodes, leaves onto leaves of their label."""
+    e, labels = cut(fx.lattices(s, d)), cut(fx.lattice_labels(s, d))
+    sig = cut(iso.signatures(e, labels))
+    pairs = sig.join(sig.groupBy("signature").agg(F.min("net_id").alias("a")), "signature").where("a <> net_id").select("a", F.col("net_id").alias("b"))
+    found = iso.mappings(e, labels, cut(pairs))
+    leaf = F.col("node_a") < 2 * fx.UNIT
+    return found.groupBy("a", "b").agg(F.count_distinct("node_b").alias("n_nodes"), F.min(~leaf | (F.col("node_a") == F.col("node_b")) | (F.col("node_a") == 0)).alias("same_leaves"))
+
+
+@query(f"WITH {FD}, {_CANON} SELECT x.net_id AS a, y.net_id AS b, x.c = y.c AS isomorphic FROM canon x JOIN canon y ON y.net_id = x.net_id + 1")
 def network_isomorphism(s, d):
     e = cut(fx.lattices(s, d))
     ids = e.select("net_id").distinct()
@@ -646,7 +778,9 @@ def extension_valid(s, d):
     return scanwidth.is_valid(e, ext)
 
 
-@query()
+# Regions come first, then nations: the part of a region grows nation by nation; suppliers and the root add nothing.
+@query(f"""WITH {FD}, k AS (SELECT net_id, r, n, count(*) AS k FROM fd0 GROUP BY net_id, r, n), w AS (SELECT net_id, count(*) OVER (PARTITION BY net_id, r) AS c, sum(k - 1) OVER (PARTITION BY net_id, r ORDER BY n) AS g FROM k)
+    SELECT net_id, max(c + greatest(g, 0))::BIGINT AS scanwidth FROM w GROUP BY net_id""")
 def scanwidth_of_extension(s, d):
     e = cut(fx.lattices(s, d))
     return scanwidth.extension_widths(e, _extension(e)).groupBy("net_id").agg(F.max("sw").alias("scanwidth"))
@@ -671,27 +805,59 @@ def min_scanwidth(s, d):
     return scanwidth.min_scanwidth(arcs.select("net_id", block.alias("block"), "src", "dst"))
 
 
+@query(f"WITH {FD} SELECT DISTINCT net_id, true AS valid, true AS same FROM fd")
+def min_extension(s, d):
+    """An extension of least scanwidth for every network: valid, and as wide as the optimum over blocks."""
+    e = cut(fx.lattices(s, d))
+    ext = cut(scanwidth.min_extensions(e))
+    width = scanwidth.extension_widths(e, ext).groupBy("net_id").agg(F.max("sw").alias("w"))
+    return scanwidth.is_valid(e, ext).join(width, "net_id").join(min_scanwidth(s, d), "net_id").select("net_id", "valid", (F.col("w") == F.col("scanwidth")).alias("same"))
+
+
+@query(f"WITH {FD} SELECT DISTINCT net_id, true AS valid FROM fd")
+def postorder_extension(s, d):
+    e = cut(fx.lattices(s, d))
+    return scanwidth.is_valid(e, scanwidth.postorder_extension(e))
+
+
 # ---- containment -----------------------------------------------------------------------------
 
 def _guests(e: DataFrame) -> DataFrame:
     return e.groupBy("net_id", "dst").agg(F.min("src").alias("src")).select("net_id", "src", "dst", F.lit(None).cast("double").alias("length"))
 
 
-@query(f"WITH {FD} SELECT DISTINCT net_id, true AS displayed FROM fd")
+@query(f"WITH {FD} SELECT DISTINCT net_id, 'own' AS guest, true AS displayed FROM fd UNION ALL SELECT net_id, 'joined', count(DISTINCT r) <= 2 FROM fd0 GROUP BY net_id")
 def tree_in_network(s, d):
+    """Two guests for each lattice: a tree it displays, and one that joins its two smallest regions apart from the others (its trees are all stars)."""
     e, n = cut(fx.lattices(s, d)), cut(fx.lattice_labels(s, d))
     guest = rewrite.remove_upwards(_guests(e), basic.degree(_guests(e)).where("outdeg = 0").join(n.select("net_id", "node"), ["net_id", "node"], "left_anti").select("net_id", "node"))
-    return containment.contains(e, n, rewrite.suppress_unary(guest), n)
-
-
-@query(f"WITH {FE} SELECT DISTINCT net_id, true AS displayed FROM fe")
+    own = containment.contains(e, n, rewrite.suppress_unary(guest), n).withColumn("guest", F.lit("own"))
+    ranked = n.withColumn("k", F.row_number().over(Window.partitionBy("net_id").orderBy("node"))).withColumn("m", F.count("*").over(Window.partitionBy("net_id")))
+    inner = F.lit(50 * fx.UNIT)
+    none = F.lit(None).cast("double")
+    joined = ranked.select("net_id", F.when((F.col("k") <= 2) & (F.col("m") > 2), inner).otherwise(F.lit(0)).cast("long").alias("src"), F.col("node").alias("dst"), none.alias("length"))
+    joined = joined.union(ranked.where("k = 1 and m > 2").select("net_id", F.lit(0).cast("long"), inner.cast("long"), none))
+    return own.union(containment.contains(e, n, joined, n).withColumn("guest", F.lit("joined"))).select("net_id", "guest", "displayed")
+
+
+# A star is displayed at the root if every set of its labels finds as many days (Hall), or below a day with enough events of each label.
+@query("""WITH ty AS (SELECT event_type AS y, 1 << (row_number() OVER (ORDER BY event_type) - 1) AS bit FROM (SELECT DISTINCT event_type FROM events)),
+    ev AS (SELECT user_id, ts::DATE AS day, event_id, event_type, bit FROM events JOIN ty ON y = event_type), dy AS (SELECT user_id, day, bit_or(bit) AS has FROM ev GROUP BY user_id, day),
+    gu AS (SELECT user_id - 1 AS net_id, bit, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) AS k FROM ev) WHERE k = 1 AND user_id - 1 IN (SELECT user_id FROM events)),
+    g AS (SELECT net_id, bit, count(*) AS c FROM gu GROUP BY net_id, bit), msk AS (SELECT unnest(range(1, (SELECT (sum(bit) + 1)::BIGINT FROM ty))) AS m),
+    need AS (SELECT net_id, m, sum(c) AS c FROM g JOIN msk ON (m & bit) > 0 GROUP BY net_id, m), have AS (SELECT user_id AS net_id, m, count(*) AS c FROM dy JOIN msk ON (m & has) > 0 GROUP BY user_id, m),
+    hall AS (SELECT need.net_id, bool_and(coalesce(have.c, 0) >= need.c) AS ok FROM need LEFT JOIN have ON have.net_id = need.net_id AND have.m = need.m GROUP BY need.net_id),
+    cnt AS (SELECT user_id, day, bit, count(*) AS c FROM ev GROUP BY user_id, day, bit), one AS (SELECT g.net_id, dy.day, bool_and(coalesce(cnt.c, 0) >= g.c) AS ok FROM g JOIN dy ON dy.user_id = g.net_id LEFT JOIN cnt ON cnt.user_id = g.net_id AND cnt.day = dy.day AND cnt.bit = g.bit GROUP BY g.net_id, dy.day),
+    any_day AS (SELECT net_id, bool_or(ok) AS ok FROM one GROUP BY net_id) SELECT net_id, hall.ok OR any_day.ok AS displayed FROM hall JOIN any_day USING (net_id)""")
 def tree_in_tree(s, d):
+    """The guest of each user: a star of the first event of every day of the next user."""
     e, n = fx.event_trees(s, d)
-    # The guest: one event per day, each day's first; the host repeats labels.
     first = n.join(e.select("net_id", F.col("dst").alias("node"), "src"), ["net_id", "node"]).groupBy("net_id", "src").agg(F.min(F.struct("node", "label")).alias("m"))
-    one = cut(first.groupBy("net_id").agg(F.min(F.struct("src", "m")).alias("x")).select("net_id", "x.src", F.col("x.m.node").alias("node"), F.col("x.m.label").alias("label")))
-    guest = one.select("net_id", F.lit(0).cast("long").alias("src"), F.col("src").alias("dst"), F.lit(None).cast("double").alias("length")).union(one.select("net_id", "src", "node", F.lit(None).cast("double")))
-    return containment.contains(e, n, guest, one.select("net_id", "node", "label"))
+    star = first.select((F.col("net_id") - 1).alias("net_id"), "m.node", "m.label").join(e.select("net_id").distinct(), "net_id", "left_semi")
+    guest = cut(star)
+    arcs = guest.select("net_id", F.lit(0).cast("long").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("length"))
+    hosts = guest.select("net_id").distinct()
+    return containment.contains(e.join(hosts, "net_id", "left_semi"), n.join(hosts, "net_id", "left_semi"), arcs, guest)
 
 
 @query()
@@ -723,3 +889,19 @@ def gen_counts(s, d):
 def scalar_functions(s, d):
     k = F.col("o_orderkey")
     return fx.table(s, d, "orders").select(k.alias("k"), scalar.taxon_name(k).alias("name"), scalar.integer_log(k).alias("log2"), F.bit_count(k).alias("ones"))
+
+
+@query("""SELECT o_orderkey AS k, o_orderkey AS back, list_filter(range(64), lambda i: (o_orderkey >> i::BIGINT) & 1 = 1)[2] AS second_set, list_filter(range(63), lambda i: (o_orderkey >> i::BIGINT) & 1 = 0)[1] AS first_unset,
+    o_orderkey & (o_orderkey - 1) AS less_lowest, o_orderkey | (o_orderkey + 1) AS more_lowest, (((o_orderkey << 5) | (o_orderkey >> 27)) & 4294967295)::BIGINT AS turned, o_orderkey AS turned_back FROM orders""")
+def bit_functions(s, d):
+    k = F.col("o_orderkey")
+    return fx.table(s, d, "orders").select(
+        k.alias("k"), scalar.unscramble(scalar.scramble(k)).alias("back"), scalar.kth_set_bit(k, 1).cast("long").alias("second_set"), scalar.kth_unset_bit(k, 0).cast("long").alias("first_unset"),
+        scalar.clear_kth_set(k, 0).alias("less_lowest"), scalar.set_kth_unset(k, 0).alias("more_lowest"), scalar.rotate_left_32(k, 5).alias("turned"), scalar.rotate_right_32(scalar.rotate_left_32(k, 5), 5).alias("turned_back"))
+
+
+@query("""SELECT p_partkey AS k, list_filter(string_split(p_type, ' '), lambda x: x <> '') AS tokens, p_size * 100 + p_partkey % 100 AS cell, (greatest(p_size, 60) * (greatest(p_size, 60) - 1) // 2 + least(p_size, 60))::BIGINT AS pair FROM part""")
+def string_and_index_functions(s, d):
+    size = F.col("p_size").cast("long")
+    return fx.table(s, d, "part").select(F.col("p_partkey").alias("k"), scalar.tokens(F.col("p_type"), " ").alias("tokens"),
+                                         scalar.linear_index(size, F.col("p_partkey") % 100, F.lit(100)).alias("cell"), scalar.triangle_index(size, F.lit(60)).alias("pair"))

@@ -287,3 +287,117 @@ def test_command_line(tmp_path, capsys):
     assert main(["gen", "-n", "19", "-r", "2", str(tmp_path / "g.nw")]) == 0 and main(["gen", "-a", "-r", "1", "-l", "3", str(tmp_path / "g.nw")]) == 0
     assert len((tmp_path / "g.nw").read_text().splitlines()) == 2
     assert main(["branch-len", str(two)]) == 0 and main(["node-data", str(one)]) == 0
+
+
+# ---- depth, cycles, size ---------------------------------------------------------------------
+
+def test_deep_trees_and_cycles_end(spark):
+    n = 1000
+    caterpillar = [(2 * i, 2 * i + 1) for i in range(n)] + [(2 * i, 2 * i + 2) for i in range(n)]
+    e = frame(spark, [caterpillar])
+    got = {r.node: r for r in order.orders(e).collect()}
+    assert len(got) == 2 * n + 1 and got[0].size == 2 * n + 1 and got[2 * n].depth == n
+    # Children by id: the leaf 2i + 1 comes before the inner node 2i + 2.
+    assert all(got[2 * i].pre == 2 * i and got[2 * i + 1].pre == 2 * i + 1 for i in range(n))
+    assert got[0].post == 2 * n and got[2 * n].post == n
+    cyclic = frame(spark, [[(1, 2), (2, 3), (3, 1)], [(0, 1), (1, 2), (2, 1)]])
+    for run in (recursion.tree_closure, recursion.tree_facts, rewrite.suppress_unary, recursion.path_counts):
+        try:
+            found = run(cyclic)
+            for x in found if isinstance(found, tuple) else (found,):
+                x.count()
+        except ValueError as error:
+            assert "cycle" in str(error)
+    assert {r.net_id for r in structure.cyclic_nodes(cyclic).collect()} == {0, 1}
+
+
+def test_matching_of_long_chains():
+    options = {i: [i, i + 1] for i in range(4000)} | {4000: [0]}
+    assert len(containment.maximum_matching(options)) == 4001
+    rng = random.Random(3)
+
+    def best(left, used, options):
+        if not left:
+            return 0
+        v, *rest = left
+        return max([best(rest, used, options)] + [1 + best(rest, used | {w}, options) for w in options[v] if w not in used])
+
+    for _ in range(100):
+        options = {v: sorted(rng.sample(range(7), rng.randint(0, 3))) for v in range(7)}
+        found = containment.maximum_matching(options)
+        assert all(w in options[v] for v, w in found.items()) and len(set(found.values())) == len(found) == best(list(options), frozenset(), options)
+
+
+def test_scanwidth_without_a_limit():
+    rng = random.Random(5)
+    for k in range(60):
+        arcs = generate.random_binary_network(rng.randint(0, 2), rng.randint(2, 3), rng)
+        if len({v for a in arcs for v in a}) <= 8:
+            width, order_ = scanwidth.min_extension(arcs)
+            assert width == scanwidth.brute_force(arcs) == max(w for *_, w in scanwidth.tree_and_widths(arcs, order_))
+    for seed in range(4):
+        arcs = generate.random_binary_network(10, 40, random.Random(seed))  # the default of the generator: 99 nodes
+        width, order_ = scanwidth.min_extension(arcs)
+        position = {v: i for i, v in enumerate(order_)}
+        assert len(position) == 99 and all(position[b] < position[a] for a, b in arcs)
+        assert width == max(w for *_, w in scanwidth.tree_and_widths(arcs, order_)) <= max(w for *_, w in scanwidth.tree_and_widths(arcs, scanwidth.any_extension(arcs)))
+        assert width == max(scanwidth.best_extension(b)[0] for b in scanwidth.split_blocks(arcs))
+
+
+def test_isomorphism_gives_a_mapping():
+    rng = random.Random(8)
+    for _ in range(20):
+        arcs = generate.random_binary_network(3, 6, rng)
+        nodes = sorted({v for a in arcs for v in a})
+        names = dict(zip(nodes, rng.sample(range(100, 200), len(nodes)), strict=True))
+        other = [(names[a], names[b]) for a, b in arcs]
+        found = iso.isomorphism(arcs, {}, other, {})
+        assert found and {(found[a], found[b]) for a, b in arcs} == set(other) and len(set(found.values())) == len(nodes)
+    assert iso.isomorphism([(0, 1)], {1: "a"}, [(0, 1)], {1: "b"}) is None
+
+
+def test_colours_of_a_long_path(spark):
+    e = frame(spark, [[(i, i + 1) for i in range(12)], [(i, i + 1) for i in range(12)]])
+    labels = spark.createDataFrame([], "net_id long, node long, label string")
+    colours = iso.refine(e, iso.seed_colours(e, labels))
+    assert colours.where("net_id = 0").select("colour").distinct().count() == 13
+
+
+def test_lengths_survive_and_bad_ones_are_errors(spark):
+    from reticula.sources import newick
+
+    arcs = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)]
+    text = format_network(arcs, {4: "x"}, 0, {a: 0.25 * (k + 1) for k, a in enumerate(arcs)})
+    assert sorted(x for _, _, x in parse_newick(text)[0]) == [0.25, 0.5, 0.75, 1.0, 1.25]
+    rows = spark.createDataFrame([(1, "a b 1.5"), (2, "a b c d"), (3, "a b long")], "net_id long, value string")
+    errors = newick.errors_of(newick.parse_table(rows, parse_edgelist)).collect()
+    assert {r.net_id for r in errors} == {2, 3}
+
+
+def test_remove_node_and_set_root(spark):
+    e = frame(spark, [[(0, 1), (1, 2), (1, 3)], [(0, 1), (0, 2)], [(5, 6), (6, 7)]])
+    gone = spark.createDataFrame([(0, 1), (1, 0), (2, 5)], "net_id long, node long")
+    got = {(r.net_id, r.src, r.dst) for r in rewrite.remove_node(e, gone).collect()}
+    assert got == {(0, 0, 2), (0, 0, 3), (1, 0, 1), (1, 0, 2), (2, 6, 7)}  # a root with two children stays
+    turned = rewrite.set_root(e, spark.createDataFrame([(0, 2), (2, 7)], "net_id long, node long"))
+    assert {(r.net_id, r.src, r.dst) for r in turned.collect()} == {(0, 2, 1), (0, 1, 0), (0, 1, 3), (1, 0, 1), (1, 0, 2), (2, 7, 6), (2, 6, 5)}
+
+
+def test_scalars_of_bits_and_maps(spark):
+    from pyspark.sql import functions as F
+
+    from reticula.functions import scalar
+
+    df = spark.createDataFrame([(0,), (1,), (-1,), (2**62 + 5,), (-2**63,)], "x long")
+    x = F.col("x")
+    for r in df.select("x", scalar.unscramble(scalar.scramble(x)).alias("y"), scalar.kth_set_bit(x, 1).alias("a"), scalar.kth_unset_bit(x, 0).alias("b")).collect():
+        bits = [r.x >> k & 1 for k in range(64)]
+        ones, zeros = [k for k in range(64) if bits[k]], [k for k in range(64) if not bits[k]]
+        assert r.y == r.x and r.a == (ones[1] if len(ones) > 1 else None) and r.b == (zeros[0] if zeros else None)
+    m = spark.range(1).select(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)).alias("m"))
+    r = m.select(scalar.decrease_or_remove(F.col("m"), F.lit("a")).alias("p"), scalar.decrease_or_remove(F.col("m"), F.lit("b")).alias("q")).first()
+    assert r.p == {"b": 2} and r.q == {"a": 1, "b": 1}
+    share = spark.range(10_000).agg(F.avg(scalar.coin(F.col("id"), 3).cast("int")), F.avg(scalar.die(F.col("id"), 3, 6))).first()
+    assert abs(share[0] - 0.5) < 0.03 and abs(share[1] - 2.5) < 0.1
+    s = F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"))
+    assert tuple(spark.range(1).select(scalar.pair_sum(s, s).alias("s")).first().s) == (2, 4)
