@@ -44,8 +44,15 @@ def reach(edges: DataFrame, seeds: DataFrame, forbidden: DataFrame | None = None
         seen = seen.union(frontier)
 
 
+def _one_parent(edges: DataFrame) -> None:
+    """Doubling needs it: with two parents the rows would multiply in every round."""
+    if not edges.groupBy("net_id", "dst").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("not a tree: a node has several parents")
+
+
 def tree_closure(edges: DataFrame) -> DataFrame:
-    """(net_id, node, anc, dist) of trees, every node its own ancestor, by pointer doubling.  A cycle is an error."""
+    """(net_id, node, anc, dist) of trees, every node its own ancestor, by pointer doubling.  A cycle or a second parent is an error."""
+    _one_parent(edges)
     jump = cut(edges.select("net_id", F.col("dst").alias("node"), F.col("src").alias("anc"), F.lit(1).alias("dist")))
     all_nodes = edges.select("net_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     near = cut(all_nodes.select("net_id", "node", F.col("node").alias("anc"), F.lit(0).alias("dist")))
@@ -68,10 +75,11 @@ def tree_fold(edges: DataFrame, values: DataFrame, down: dict[str, str], up: tup
 
     Columns of ``down`` become the sum, min or max over a node's subtree; those of ``up`` the sum
     over the node and its ancestors.  With the ancestor 2^k above at hand, and folds over what is
-    nearer, a round joins both to folds over what is nearer than 2^(k+1).  A cycle is an error.
+    nearer, a round joins both to folds over what is nearer than 2^(k+1).  A cycle or a second parent is an error.
     """
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    _one_parent(edges)
     parents = edges.select("net_id", F.col("dst").alias("node"), F.col("src").alias("_p"))
     state = cut(values.select("net_id", "node", *down, *up).join(parents, ["net_id", "node"], "left"))
     for _ in rounds(edges, doubling=True):
