@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark removes a query's shuffle files at its end under this setting; what is cut stands in a table by then.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows in a file of a table whose size is known before it is written.
+FILE_ROWS = 500_000
+
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
@@ -34,12 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'reticula-checkpoints')}"
 
 
-def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost no rerun.
 
     ``by``: a column whose values get folders of their own, so that readers of one value open no other.
+    ``rows``: no more rows than this are written; of narrow rows a file then holds FILE_ROWS on average,
+    so a small table isn't dealt over as many files as there are shuffle partitions.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/reticula/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")

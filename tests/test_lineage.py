@@ -42,3 +42,12 @@ def test_cut_drop_and_scope(spark):
         b = lineage.cut(df.selectExpr("id", "id % 2 AS k"), by="k")
         assert b.where("k = 1").count() == 5
     assert set(os.listdir(_folder(spark))) == before
+
+
+def test_cut_with_known_rows_writes_few_files(spark, monkeypatch):
+    df = spark.range(100).repartition(8)
+    assert len(lineage.cut(df, rows=100).inputFiles()) == 1
+    monkeypatch.setattr(lineage, "FILE_ROWS", 40)
+    table = lineage.cut(df, rows=100)
+    assert len(table.inputFiles()) == 3 and table.count() == 100
+    assert lineage.cut(df.where("id < 0"), rows=0).count() == 0
