@@ -28,11 +28,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
         large = _joined(both.where("v > u"), least, "u", 2 * n).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: every node hands its smaller neighbours to its smallest one.
-        large = cut(large) if n > HOT_ROWS else large
+        large = cut(large, rows=n) if n > HOT_ROWS else large
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
         small = (_joined(large, least, "a", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).distinct())
-        before, edges = edges, cut(small)
+        before, edges = edges, cut(small, rows=2 * n)
         drop(before, large)
         state = edges.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))").alias("s")).first()
         n, state = state["n"], (state["n"], state["s"])
@@ -45,4 +45,4 @@ def components(links: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, least: DataFrame, key: str, n: int) -> DataFrame:
     """``rows`` with the smallest neighbour of ``key``; n: no key has more rows."""
-    return join_counted(rows, cut(least), [key], "_n") if n > HOT_ROWS else rows.join(least, key)
+    return join_counted(rows, cut(least, rows=n), [key], "_n") if n > HOT_ROWS else rows.join(least, key)
