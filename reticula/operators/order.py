@@ -33,12 +33,6 @@ def is_preordered(ordered: DataFrame) -> DataFrame:
     return ordered.select("net_id").distinct().join(falls, "net_id", "left").select("net_id", F.col("_falls").isNull().alias("preordered"))
 
 
-def is_preordered(ordered: DataFrame) -> DataFrame:
-    """(net_id, preordered): do node ids rise along the pre-order?"""
-    w = Window.partitionBy("net_id").orderBy("pre")
-    return ordered.withColumn("_ok", F.coalesce(F.lag("node").over(w) < F.col("node"), F.lit(True))).groupBy("net_id").agg(F.min("_ok").alias("preordered"))
-
-
 def euler_tour(ordered: DataFrame) -> DataFrame:
     """(net_id, visit, node, depth): a node is visited before each child and after the last.
 
