@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -153,3 +155,61 @@ def sorted_prefix(seq: DataFrame) -> DataFrame:
     w = Window.partitionBy("seq_id").orderBy("i")
     breaks = seq.withColumn("_break", F.coalesce(F.col("val") < F.lag("val").over(w), F.lit(False)))
     return breaks.groupBy("seq_id").agg(F.coalesce(F.min(F.when(F.col("_break"), F.col("i"))), F.max("i") + 1).alias("n"))
+
+
+def visits(ordered: DataFrame, kinds: tuple[str, ...] = ("pre", "in", "post")) -> DataFrame:
+    """(net_id, at, node, kind): the nodes in any mix of pre-, in- and post-order, as sorted by ``at``.
+
+    A node's pre-order visit is its first one on the Euler tour, its post-order visit the last;
+    the in-order visits are those between two of its subtrees.
+    """
+    first = 2 * F.col("pre") - F.col("depth")
+    ends = ordered.select("net_id", "node", (first + 2 * F.col("size") - 2).alias("visit"))
+    again = ordered.where("parent is not null").select("net_id", F.col("parent").alias("node"), (first + 2 * F.col("size") - 1).alias("visit"))
+    parts = {"pre": ordered.select("net_id", "node", first.alias("visit")), "in": again.join(ends, ["net_id", "node", "visit"], "left_anti"), "post": ends}
+    out = [parts[k].select("net_id", (3 * F.col("visit") + rank).alias("at"), "node", F.lit(k).alias("kind")) for rank, k in enumerate(parts) if k in kinds]
+    return reduce(DataFrame.union, out)
+
+
+def dfs_arcs(edges: DataFrame) -> DataFrame:
+    """(net_id, src, dst, nr): the arcs of the depth-first trees, in the order in which they are walked.
+
+    Searches start at the roots; roots and children in order of their ids.  The order of a
+    depth-first search depends on all that went before, so one network is one kernel's work.
+    """
+    def solve(key: tuple, rows: pd.DataFrame):
+        children: dict[int, list[int]] = {}
+        for a, b in zip(rows["src"].tolist(), rows["dst"].tolist(), strict=True):
+            children.setdefault(a, []).append(b)
+        heads, seen, nr = set(rows["dst"]), set(), 0
+        for root in sorted(children.keys() - heads):
+            seen.add(root)
+            path = [(root, iter(sorted(set(children[root]))))]
+            while path:
+                v, todo = path[-1]
+                w = next((x for x in todo if x not in seen), None)
+                if w is None:
+                    path.pop()
+                    continue
+                yield int(key[0]), v, w, nr
+                nr += 1
+                seen.add(w)
+                path.append((w, iter(sorted(set(children.get(w, []))))))
+
+    return per_group(edges.select("net_id", "src", "dst"), ["net_id"], ["src", "dst"], solve, "net_id long, src long, dst long, nr long")
+
+
+def first_appearance(edges: DataFrame) -> DataFrame:
+    """(net_id, node, id): dense numbers from 0 by first appearance; ``edges`` has ``pos``, the tail of an arc comes before its head.
+
+    Ranges of (net_id, first place) make the partitions, so one large network spreads over
+    many; a partition's numbers start after those of the ranges before it.
+    """
+    ends = edges.select("net_id", F.explode(F.array(F.struct((2 * F.col("pos")).alias("at"), F.col("src").alias("node")), F.struct((2 * F.col("pos") + 1).alias("at"), F.col("dst").alias("node")))).alias("e"))
+    first = ends.groupBy("net_id", F.col("e.node").alias("node")).agg(F.min("e.at").alias("at"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(first.repartitionByRange(parts, "net_id", "at").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("net_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    ahead = ranged.groupBy("net_id", "_part").agg(F.count("*").alias("_n")).select("net_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("net_id", "_part").orderBy("at")) - 1
+    return ranged.withColumn("_own", own).join(ahead, ["net_id", "_part"]).select("net_id", "node", (F.col("_own") + F.col("_ahead")).alias("id"))

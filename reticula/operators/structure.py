@@ -118,3 +118,74 @@ def leaf_stability(edges: DataFrame, dom: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame) -> DataFrame:
     return closure(edges)
+
+
+def _climb(edges: DataFrame, comp: DataFrame, start: DataFrame) -> DataFrame:
+    """(net_id, node, comp, n_paths): from ``start`` (net_id, node) up to the first nodes of components, and by how many ways."""
+    up = cut(edges.select("net_id", F.col("dst").alias("via"), F.col("src").alias("up")))
+    frontier = cut(start.select("net_id", "node", F.col("node").alias("via"), F.lit(1).cast("long").alias("n")))
+    met = None
+    for _ in rounds(edges):
+        step = frontier.join(up, ["net_id", "via"]).groupBy("net_id", "node", F.col("up").alias("via")).agg(F.sum("n").alias("n"))
+        hit = cut(step.join(comp.select("net_id", F.col("node").alias("via"), "comp"), ["net_id", "via"], "left"))
+        part = hit.where("comp is not null").select("net_id", "node", "comp", "n")
+        met = part if met is None else met.union(part)
+        frontier = hit.where("comp is null").select("net_id", "node", "via", "n")
+        if frontier.isEmpty():
+            break
+    return met.groupBy("net_id", "node", "comp").agg(F.sum("n").alias("n_paths"))
+
+
+def component_paths(edges: DataFrame) -> DataFrame:
+    """(net_id, src, dst, n_paths): paths from the top of each tree component to the tops below it.
+
+    A component is a tree, so paths multiply only on the way through reticulations: arcs of the
+    component DAG carry their number of ways, and longer paths are counted over that DAG.
+    """
+    comp = cut(tree_components(edges))
+    arcs = cut(_climb(edges, comp, comp.where("node = comp")).select("net_id", F.col("comp").alias("src"), F.col("node").alias("dst"), "n_paths"))
+    frontier = out = arcs
+    step = arcs.select("net_id", F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("n_paths").alias("n"))
+    for _ in rounds(arcs):
+        frontier = cut(frontier.join(step, ["net_id", "dst"]).groupBy("net_id", "src", F.col("next").alias("dst")).agg(F.sum(F.col("n_paths") * F.col("n")).alias("n_paths")))
+        if frontier.isEmpty():
+            break
+        out = out.union(frontier)
+    return out.groupBy("net_id", "src", "dst").agg(F.sum("n_paths").alias("n_paths"))
+
+
+def eligible_components(edges: DataFrame) -> DataFrame:
+    """(net_id, comp, half_eligible, eligible): half-eligible if a single path leads to each component below; eligible if a leaf sees it too."""
+    tops = cut(tree_components(edges)).where("node = comp").select("net_id", "comp")
+    most = component_paths(edges).groupBy("net_id", F.col("src").alias("comp")).agg(F.max("n_paths").alias("most"))
+    seen = component_facts(edges)[1].select("net_id", "comp", F.lit(True).alias("seen"))
+    half = F.coalesce(F.col("most") == 1, F.lit(True))
+    return tops.join(most, ["net_id", "comp"], "left").join(seen, ["net_id", "comp"], "left").select(
+        "net_id", "comp", half.alias("half_eligible"), (half & F.coalesce("seen", F.lit(False))).alias("eligible"))
+
+
+def branch_counts(edges: DataFrame) -> DataFrame:
+    """(net_id, node, n_none, n_inner, n_leaf, candidate, best) of reticulations, by what their parents see.
+
+    A node sees a component if it is in it or if all its ways up first meet that one.  Counted
+    are the parents that see none, one with components below it, and one without.  Reticulations
+    above a single leaf that see none themselves are candidates to branch at; the best of a
+    network has the least counts, in that order, then the least id.
+    """
+    edges = cut(edges.select("net_id", "src", "dst"))
+    comp, deg = cut(tree_components(edges)), cut(degree(edges))
+    outside = deg.select("net_id", "node").join(comp, ["net_id", "node"], "left_anti")
+    met = cut(_climb(edges, comp, outside))
+    agreed = met.groupBy("net_id", "node").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")).where("comp = other").select("net_id", "node", "comp")
+    above = _climb(edges, comp, comp.where("node = comp")).select("net_id", "comp").distinct().withColumn("inner", F.lit(True))
+    sees = cut(comp.select("net_id", "node", "comp").union(agreed).join(above, ["net_id", "comp"], "left").select("net_id", "node", "comp", F.coalesce("inner", F.lit(False)).alias("inner")))
+    reti = deg.where("indeg > 1").select("net_id", F.col("node").alias("dst"), "outdeg")
+    parents = edges.join(reti, ["net_id", "dst"]).join(sees.select("net_id", F.col("node").alias("src"), "inner"), ["net_id", "src"], "left")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = parents.groupBy("net_id", F.col("dst").alias("node")).agg(n(F.col("inner").isNull()).alias("n_none"), n(F.col("inner")).alias("n_inner"), n(~F.col("inner")).alias("n_leaf"))
+    tips = deg.where("indeg = 1 and outdeg = 0").select("net_id", F.col("node").alias("dst"))
+    single = edges.join(tips, ["net_id", "dst"], "left_semi").join(deg.where("indeg > 1 and outdeg = 1").select("net_id", F.col("node").alias("src")), ["net_id", "src"], "left_semi")
+    able = single.select("net_id", F.col("src").alias("node")).join(sees, ["net_id", "node"], "left_anti").withColumn("candidate", F.lit(True))
+    counts = cut(counts.join(able, ["net_id", "node"], "left").withColumn("candidate", F.coalesce("candidate", F.lit(False))))
+    best = counts.where("candidate").groupBy("net_id").agg(F.min_by("node", F.struct("n_none", "n_inner", "n_leaf", "node")).alias("best"))
+    return counts.join(best, "net_id", "left").select("net_id", "node", "n_none", "n_inner", "n_leaf", "candidate", F.coalesce(F.col("best") == F.col("node"), F.lit(False)).alias("best"))

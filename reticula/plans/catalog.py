@@ -311,6 +311,13 @@ def kth_member(s, d):
     return sets.kth_member(fx.supplier_parts(s, d), 2).withColumnRenamed("item", "third")
 
 
+@query("""WITH o AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey)) AS items FROM lineitem GROUP BY l_orderkey) SELECT min(k) AS first_set, count(*) AS n_sets FROM o GROUP BY items""")
+def set_hash(s, d):
+    """Orders with the same suppliers, by the hash of the set."""
+    own = fx.table(s, d, "lineitem").select("l_orderkey", "l_suppkey").distinct().groupBy("l_orderkey").agg(sets.set_hash(F.col("l_suppkey")).alias("h"))
+    return own.groupBy("h").agg(F.min("l_orderkey").alias("first_set"), F.count("*").alias("n_sets")).drop("h")
+
+
 @query("""SELECT c_custkey AS key, 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT p_partkey, 'part', p_name FROM part""")
 def merge_sorted(s, d):
     part = lambda name, c: fx.table(s, d, name).select(F.col(f"{c}key").alias("key"), F.lit(name).alias("kind"), F.col(f"{c[0]}_name").alias("name"))
@@ -344,6 +351,26 @@ def postorder(s, d):
     return order.orders(fx.geo_tree(s, d)).select("node", "post")
 
 
+@query(f"""WITH RECURSIVE {FB}, {CLOSURE}, {WALK}, {ORDERED}, o AS (SELECT node, 2 * pre - depth AS visit, size FROM ord JOIN siz USING (node)), k AS (SELECT fb.src, visit + 2 * size - 1 AS visit, lead(fb.dst) OVER (PARTITION BY fb.src ORDER BY fb.dst) AS later FROM fb JOIN o ON o.node = fb.dst)
+    SELECT 3 * visit AS at, node, 'pre' AS kind FROM o UNION ALL SELECT 3 * visit + 1, src, 'in' FROM k WHERE later IS NOT NULL UNION ALL SELECT 3 * (visit + 2 * size - 2) + 2, node, 'post' FROM o""")
+def dfs_visits(s, d):
+    return order.visits(cut(order.orders(fx.geo_tree(s, d)))).select("at", "node", "kind")
+
+
+# A depth-first search of an acyclic network reaches every node by its least path.
+@query(f"""WITH RECURSIVE {FD}, p AS (SELECT DISTINCT net_id, 0::BIGINT AS node, [0::BIGINT] AS path FROM fd UNION ALL SELECT p.net_id, fd.dst, list_append(p.path, fd.dst) FROM p JOIN fd ON fd.net_id = p.net_id AND fd.src = p.node),
+    m AS (SELECT net_id, node, min(path) AS path FROM p GROUP BY net_id, node) SELECT net_id, path[-2] AS src, node AS dst, row_number() OVER (PARTITION BY net_id ORDER BY path) - 1 AS nr FROM m WHERE len(path) > 1""")
+def dfs_arcs(s, d):
+    return order.dfs_arcs(fx.lattices(s, d))
+
+
+@query("""WITH e AS (SELECT 2 * o_orderkey AS p, 3000000000000 + o_custkey AS node FROM orders UNION ALL SELECT 2 * o_orderkey + 1, 5000000000000 + o_orderkey FROM orders), f AS (SELECT node, min(p) AS p FROM e GROUP BY node)
+    SELECT node, row_number() OVER (ORDER BY p) - 1 AS id FROM f""")
+def first_appearance(s, d):
+    e = fx.table(s, d, "orders").select(F.lit(0).cast("long").alias("net_id"), fx.node(fx.CUSTOMER, "o_custkey").alias("src"), fx.node(fx.ORDER, "o_orderkey").alias("dst"), F.col("o_orderkey").alias("pos"))
+    return order.first_appearance(e).select("node", "id")
+
+
 @query(f"WITH RECURSIVE {FB}, {WALK}, o AS (SELECT node, lag(node) OVER (ORDER BY path) AS before FROM walk) SELECT coalesce(bool_and(before < node), true) AS preordered FROM o")
 def is_preordered(s, d):
     return order.is_preordered(order.orders(fx.geo_tree(s, d))).select("preordered")
@@ -588,6 +615,32 @@ def visible_leaf(s, d):
     return structure.component_facts(cut(fx.lattices(s, d)))[1]
 
 
+_PATHS = _COMP.replace(FD, _FK) + """, top AS (SELECT net_id, node FROM t WHERE node = comp), q AS (SELECT net_id, node AS src, node FROM top UNION ALL SELECT q.net_id, q.src, fd.dst FROM q JOIN fd ON fd.net_id = q.net_id AND fd.src = q.node),
+    np AS (SELECT q.net_id, q.src, q.node AS dst, count(*) AS n_paths FROM q JOIN top ON top.net_id = q.net_id AND top.node = q.node WHERE q.src <> q.node GROUP BY ALL)"""
+
+
+@query(_PATHS + " SELECT * FROM np")
+def component_paths(s, d):
+    return structure.component_paths(cut(_with_leaves(s, d)))
+
+
+@query(_PATHS + """, sees AS (SELECT net_id, min(comp) AS comp FROM met WHERE NOT is_root GROUP BY net_id, node HAVING min(comp) = max(comp)), h AS (SELECT net_id, node AS comp, coalesce((SELECT max(n_paths) FROM np WHERE np.net_id = top.net_id AND np.src = top.node), 1) = 1 AS half FROM top)
+    SELECT net_id, comp, half AS half_eligible, half AND EXISTS (SELECT 1 FROM sees WHERE sees.net_id = h.net_id AND sees.comp = h.comp) AS eligible FROM h""")
+def eligible_components(s, d):
+    return structure.eligible_components(cut(_with_leaves(s, d)))
+
+
+# All components end in the root's here, so every way up from a reticulation sees one.
+@query(_COMP.replace(FD, _FK) + """, v AS (SELECT fd.net_id, fd.dst AS node, fd.src AS at FROM fd UNION SELECT v.net_id, v.node, fd.src FROM v JOIN fd ON fd.net_id = v.net_id AND fd.dst = v.at WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.net_id = v.net_id AND t.node = v.at)),
+    ag AS (SELECT v.net_id, v.node, min(t.comp) AS comp FROM v JOIN t ON t.net_id = v.net_id AND t.node = v.at GROUP BY v.net_id, v.node HAVING min(t.comp) = max(t.comp)),
+    se AS (SELECT net_id, node, comp FROM t UNION ALL SELECT net_id, node, comp FROM ag WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.net_id = ag.net_id AND t.node = ag.node)),
+    si AS (SELECT se.net_id, se.node, EXISTS (SELECT 1 FROM met WHERE met.is_root AND met.net_id = se.net_id AND met.comp = se.comp) AS inn FROM se),
+    c AS (SELECT fd.net_id, fd.dst AS node, count(*) FILTER (inn IS NULL) AS n_none, count(*) FILTER (inn) AS n_inner, count(*) FILTER (NOT inn) AS n_leaf FROM fd JOIN deg ON deg.net_id = fd.net_id AND deg.node = fd.dst AND deg.indeg > 1 LEFT JOIN si ON si.net_id = fd.net_id AND si.node = fd.src GROUP BY fd.net_id, fd.dst)
+    SELECT *, false AS candidate, false AS best FROM c""")
+def branch_counts(s, d):
+    return structure.branch_counts(_with_leaves(s, d))
+
+
 # Reachability from the root that avoids x; what is lost is dominated by x.
 _DOM = f"""WITH RECURSIVE {FD}, nod AS (SELECT net_id, src AS node FROM fd UNION SELECT net_id, dst FROM fd), av AS (SELECT net_id, node AS x, 0::BIGINT AS node FROM nod WHERE node <> 0
     UNION SELECT av.net_id, av.x, fd.dst FROM av JOIN fd ON fd.net_id = av.net_id AND fd.src = av.node AND fd.dst <> av.x),
@@ -876,6 +929,17 @@ def gen_networks(s, d):
     return c
 
 
+@query("SELECT k AS net_id, 20 + 30 + 5 + 3 AS n_nodes, 20 + 30 - 1 + 5 + 3 + 8 AS n_edges, 3 AS n_retis, 8 + 3 AS retis_in, false AS cyclic FROM range(50) t(k)")
+def gen_random_edges(s, d):
+    """Trees of 20 inner nodes and 30 leaves with 8 more arcs, 5 new tails and 3 new heads."""
+    e = cut(generate.networks_with_edges(s, 50, 20, 30, 5, 3, 8, seed=2))
+    deg = basic.degree(e)
+    two = F.col("indeg") > 1
+    found = deg.groupBy("net_id").agg(F.count("*").alias("n_nodes"), F.sum("outdeg").alias("n_edges"), F.sum(two.cast("int")).alias("n_retis"), F.sum(F.when(two, F.col("indeg"))).alias("retis_in"))
+    cyclic = structure.cyclic_nodes(e).select("net_id").distinct().withColumn("cyclic", F.lit(True))
+    return found.join(cyclic, "net_id", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+
+
 @query("SELECT s_suppkey AS k, (2 * s_suppkey + 101 - 2 * s_suppkey + 1) // 2 AS leaves, 2 * s_suppkey + 2 * 7 - 1 AS nodes, (2 * s_suppkey + 51 - 2 * 7 + 1) // 2 AS retis FROM supplier")
 def gen_counts(s, d):
     k = F.col("s_suppkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -76,6 +77,67 @@ def add_random_arcs(arcs: list[tuple[int, int]], count: int, rng: random.Random)
     return arcs
 
 
+def add_random_edges(arcs: list[tuple[int, int]], tree_nodes: int, reticulations: int, count: int, rng: random.Random) -> list[tuple[int, int]]:
+    """``count`` more arcs, whose tails are ``tree_nodes`` new nodes and whose heads ``reticulations`` new ones.
+
+    All other ends are nodes that are there: tails inner tree nodes, heads reticulations.  New
+    nodes subdivide random arcs; the result stays acyclic and has no arc twice.  Which arcs get
+    the new nodes is drawn; draws that leave no place start again, 100 times before it is
+    an error.
+    """
+    if max(tree_nodes, reticulations) > count:
+        raise ValueError("more new nodes than new arcs")
+    if count and len(arcs) < 2:
+        raise ValueError("a network with one arc takes no more")
+    if count and not reticulations and max(Counter(b for _, b in arcs).values()) < 2:
+        raise ValueError("arcs added to a tree make a reticulation")
+    for _ in range(100):
+        found = _grow(list(arcs), tree_nodes, reticulations, count, rng)
+        if found is not None:
+            return found
+    raise ValueError("no place found for the new arcs")
+
+
+def _grow(arcs: list[tuple[int, int]], tree_nodes: int, reticulations: int, count: int, rng: random.Random) -> list[tuple[int, int]] | None:
+    for left in range(count, 0, -1):
+        for _ in range(20 + 4 * len(arcs)):
+            grown, free = list(arcs), max(v for a in arcs for v in a) + 1
+            heads = Counter(b for _, b in grown)
+            tails = {a for a, _ in grown}
+            ends: list[int] = []
+            for new, pool in ((tree_nodes, sorted(v for v in tails if heads[v] < 2)), (reticulations, sorted(v for v in heads if heads[v] > 1))):
+                # All that is left must be new, or the draw decides, or there are no old nodes.
+                if new and (new == left or not pool or rng.random() < new / left):
+                    a, b = grown.pop(rng.randrange(len(grown)))
+                    grown += [(a, free), (free, b)]
+                    ends.append(free)
+                    free += 1
+                else:  # the root is an old tail; without an old reticulation a head is new
+                    ends.append(rng.choice(pool))
+            s, t = ends
+            if s != t and (s, t) not in grown and not _reaches(grown, t, s):
+                break
+        else:
+            return None
+        tree_nodes -= s not in tails
+        reticulations -= t not in heads
+        arcs = [*grown, (s, t)]
+    return arcs
+
+
+def _reaches(arcs: list[tuple[int, int]], start: int, goal: int) -> bool:
+    below: dict[int, list[int]] = {}
+    for a, b in arcs:
+        below.setdefault(a, []).append(b)
+    seen, todo = {start}, [start]
+    while todo:
+        for x in below.get(todo.pop(), []):
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    return goal in seen
+
+
 def random_binary_network(reticulations: int, leaves: int, rng: random.Random) -> list[tuple[int, int]]:
     """A binary network with exactly these numbers: a random tree and inserted arcs."""
     if leaves < 2:
@@ -95,6 +157,19 @@ def networks(spark: SparkSession, count: int, reticulations: int, leaves: int, s
     return spark.range(count).mapInPandas(kernel, EDGES)
 
 
+def networks_with_edges(spark: SparkSession, count: int, inner: int, leaves: int, tree_nodes: int, reticulations: int, arcs: int, seed: int = 0) -> DataFrame:
+    """``count`` random trees with ``arcs`` more arcs each, see ``add_random_edges``."""
+    def kernel(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k in frame["id"]:
+                rng = random.Random(f"{seed}/{k}")
+                rows += [(k, a, b) for a, b in add_random_edges(random_tree(inner, leaves, rng), tree_nodes, reticulations, arcs, rng)]
+            yield pd.DataFrame(rows, columns=["net_id", "src", "dst"])
+
+    return spark.range(count).mapInPandas(kernel, EDGES)
+
+
 def birth_process(leaves: int, rng: random.Random) -> list[tuple[int, int, float]]:
     """A pure-birth tree: exponential waiting times, a uniform lineage splits."""
     born, arcs, tips, ids, now = {0: 0.0}, [], [0], 1, 0.0

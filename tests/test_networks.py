@@ -400,3 +400,127 @@ def test_scalars_of_bits_and_maps(spark):
     assert abs(share[0] - 0.5) < 0.03 and abs(share[1] - 2.5) < 0.1
     s = F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"))
     assert tuple(spark.range(1).select(scalar.pair_sum(s, s).alias("s")).first().s) == (2, 4)
+
+
+# ---- traversal orders, component paths, branching --------------------------------------------
+
+def visits_of(arcs, kinds):
+    children = {}
+    for a, b in sorted(arcs):
+        children.setdefault(a, []).append(b)
+    out = []
+
+    def walk(v):
+        out.append((v, "pre"))
+        for k, c in enumerate(children.get(v, [])):
+            if k:
+                out.append((v, "in"))
+            walk(c)
+        out.append((v, "post"))
+
+    walk((set(children) - {b for _, b in arcs}).pop())
+    return [(v, k) for v, k in out if k in kinds]
+
+
+def test_visits_in_any_mix_of_orders(spark):
+    r = random.Random(21)
+    trees = [generate.random_tree(k, k + 1 + k % 3, r) for k in range(2, 9)]
+    ordered = order.orders(frame(spark, trees)).cache()
+    for kinds in (("pre",), ("in",), ("post",), ("pre", "post"), ("pre", "in", "post")):
+        got = {}
+        for row in sorted(order.visits(ordered, kinds).collect()):
+            got.setdefault(row.net_id, []).append((row.node, row.kind))
+        assert got == {k: v for k, t in enumerate(trees) if (v := visits_of(t, kinds))}
+
+
+def test_dfs_arcs_and_first_appearance(spark):
+    nets = [n for n in random_nets(10, 22) if n]
+    got = {}
+    for row in sorted(order.dfs_arcs(frame(spark, nets)).collect(), key=lambda x: (x.net_id, x.nr)):
+        got.setdefault(row.net_id, []).append((row.src, row.dst))
+    for k, arcs in enumerate(nets):
+        want, seen = [], set()
+
+        def walk(v):
+            seen.add(v)
+            for w in sorted(b for a, b in arcs if a == v):  # noqa: B023
+                if w not in seen:  # noqa: B023
+                    want.append((v, w))  # noqa: B023
+                    walk(w)  # noqa: B023
+
+        walk((({a for a, _ in arcs}) - {b for _, b in arcs}).pop())
+        assert got[k] == want
+    rows = [(k, a, b, pos) for k, arcs in enumerate(nets) for pos, (a, b) in enumerate(arcs)]
+    ids = {(x.net_id, x.node): x.id for x in order.first_appearance(spark.createDataFrame(rows, "net_id long, src long, dst long, pos long")).collect()}
+    for k, arcs in enumerate(nets):
+        flat = list(dict.fromkeys(v for a in arcs for v in a))
+        assert [ids[k, v] for v in flat] == list(range(len(flat)))
+    assert order.dfs_arcs(frame(spark, [])).count() == 0 == order.first_appearance(spark.createDataFrame([], "net_id long, src long, dst long, pos long")).count()
+
+
+def test_component_paths_and_branch_counts(spark):
+    r = random.Random(23)
+    nets = [generate.random_binary_network(r.randint(1, 6), r.randint(2, 6), r) for _ in range(40)]
+    edges = frame(spark, nets).cache()
+    comp = {}
+    for row in structure.tree_components(edges).collect():
+        comp.setdefault(row.net_id, {})[row.node] = row.comp
+    paths = {(x.net_id, x.src, x.dst): x.n_paths for x in structure.component_paths(edges).collect()}
+    state = {(x.net_id, x.comp): (x.half_eligible, x.eligible) for x in structure.eligible_components(edges).collect()}
+    counts = {(x.net_id, x.node): tuple(x)[2:] for x in structure.branch_counts(edges).collect()}
+    want_paths, want_state, want_counts, some_best = {}, {}, {}, 0
+    for k, arcs in enumerate(nets):
+        own, down, up = comp[k], {}, {}
+        for a, b in arcs:
+            down.setdefault(a, []).append(b)
+            up.setdefault(b, []).append(a)
+
+        def count(u, v):
+            return 1 if u == v else sum(count(c, v) for c in down.get(u, []))  # noqa: B023
+
+        def met(v):
+            return set().union(*({own[p]} if p in own else met(p) for p in up.get(v, [])))  # noqa: B023
+
+        def sees(v):
+            found = {own[v]} if v in own else met(v)  # noqa: B023
+            return found.pop() if len(found) == 1 else None
+
+        tops = set(own.values())
+        for u in tops:
+            below = {v: n for v in tops - {u} if (n := count(u, v))}
+            want_paths |= {(k, u, v): n for v, n in below.items()}
+            half = all(n == 1 for n in below.values())
+            tips = [v for v in up if v not in down and len(up[v]) == 1]
+            want_state[k, u] = (half, half and any(met(v) == {u} for v in tips))
+        inner = set().union(*(met(v) for v in tops)) if tops else set()
+        rows = {}
+        for v in up:
+            if len(up[v]) > 1:
+                seen = [sees(p) for p in up[v]]
+                only = down.get(v, [])
+                able = len(only) == 1 and only[0] not in down and len(up[only[0]]) == 1 and sees(v) is None
+                rows[v] = (seen.count(None), sum(c in inner for c in seen if c is not None), sum(c not in inner for c in seen if c is not None), able)
+        best = min(((x[:3], v) for v, x in rows.items() if x[3]), default=(None, None))[1]
+        some_best += best is not None
+        want_counts |= {(k, v): (*x, v == best) for v, x in rows.items()}
+    assert paths == want_paths and state == want_state and counts == want_counts
+    assert some_best and any(x[0] for x in counts.values()) and any(x[2] for x in counts.values())
+
+
+@pytest.mark.parametrize(("tree_nodes", "retis", "count"), [(0, 3, 3), (3, 3, 3), (2, 1, 4), (0, 1, 3), (5, 2, 6)])
+def test_random_edges_with_numbers_of_new_nodes(tree_nodes, retis, count):
+    r = random.Random(24)
+    for _ in range(20):
+        old = generate.random_tree(6, 9, r)
+        new = generate.add_random_edges(old, tree_nodes, retis, count, r)
+        heads = [b for _, b in new]
+        nodes = {v for a in new for v in a}
+        added = nodes - {v for a in old for v in a}
+        assert len(set(new)) == len(new) == len(old) + count + tree_nodes + retis
+        assert sum(heads.count(v) > 1 for v in added) == retis and len(added) == tree_nodes + retis
+        assert len({v for v in nodes if heads.count(v) > 1}) == retis
+        assert not any(v in below(new, w) for v, w in new)
+    with pytest.raises(ValueError):
+        generate.add_random_edges(old, 1, 0, 1, r)
+    with pytest.raises(ValueError):
+        generate.add_random_edges(old, 3, 1, 2, r)
