@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its
 result is written as Parquet and read again.  All but the last return the columns of
-``documents``.
+``documents``, extra ones among them whatever their names.
+
+Cases: a null text is the empty text to every stage and stays null in what they return; ids
+and sources may be null or repeat; texts of any length are read whole; an empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
@@ -16,28 +20,43 @@ from reticula.llm.common import cut
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go.  The model learns from labelled rows among ``docs`` that are not held out."""
+    """Documents that score 0.5 or more go.  The model learns from labelled rows among ``docs`` that are not held out.
+
+    Null and empty texts score as texts without clauses; without labels nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(queries.remainder("doc_id", 5) != 0)
     return toxicity.remove_toxic(docs, toxicity.fit(docs, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space runs count as one space) the smallest id stays."""
+    """Of equal texts (white space runs count as one space) the smallest id stays.
+
+    Null and empty texts are one group; a null id ranks last; of rows equal in id and text one stays.
+    """
     return exact_dedup.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest id."""
+    """One document of each SimHash component stays, the one with the smallest id.
+
+    Null and wordless texts have the fingerprint zero and link like others; a null id ranks last.
+    """
     return simhash_dedup.dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken for the mix, repeated as often as taken, in training order."""
+    """Documents taken for the mix, repeated as often as taken, in training order.
+
+    Null sources are one source; a document without words is taken as often as its source's whole passes.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and what they decode to, as counts and digests."""
+    """Token ids of every document and what they decode to, as counts and digests.
+
+    Null and empty texts have no tokens and the digests of the empty string; repeated rows give a row each.
+    """
     return bpe.encode(docs, queries.vocabulary(), digest=True)
 
 
