@@ -382,6 +382,17 @@ def test_remove_node_and_set_root(spark):
     assert {(r.net_id, r.src, r.dst) for r in turned.collect()} == {(0, 2, 1), (0, 1, 0), (0, 1, 3), (1, 0, 1), (1, 0, 2), (2, 7, 6), (2, 6, 5)}
 
 
+def test_taxon_names_of_any_length(spark):
+    from reticula.functions import scalar
+
+    def name(x):
+        return (name(x // 26) if x >= 26 else "") + chr(97 + x % 26)
+
+    keys = [0, 25, 26, 27, 675, 676, 17575, 17576, 456975, 456976, 456977, 899999, 11881375, 11881376, 2**32 - 1]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", scalar.taxon_name(F.col("k")).alias("name")).collect()
+    assert {r.k: r["name"] for r in got} == {k: name(k) for k in keys}
+
+
 def test_scalars_of_bits_and_maps(spark):
     from pyspark.sql import functions as F
 
