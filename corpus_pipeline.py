@@ -1,7 +1,7 @@
 """A corpus pipeline of operators of ``reticula.llm``: stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its
-result is written as Parquet and read again.  All but the last return the columns of
+result is written as Parquet, in few files if it is small, and read again.  All but the last return the columns of
 ``documents``, extra ones among them whatever their names.
 
 Cases: a null text is the empty text to every stage and stays null in what they return; ids
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reticula.llm import bpe, exact_dedup, mixing, queries, simhash_dedup, toxicity
-from reticula.llm.common import cut
+from reticula.llm.common import cut, pack
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts score as texts without clauses; without labels nothing goes.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(queries.remainder("doc_id", 5) != 0)
-    return toxicity.remove_toxic(docs, toxicity.fit(docs, labels))
+    return pack(toxicity.remove_toxic(docs, toxicity.fit(docs, labels)), shuffled=False)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one group; a null id ranks last; of rows equal in id and text one stays.
     """
-    return exact_dedup.dedup(docs)
+    return pack(exact_dedup.dedup(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and wordless texts have the fingerprint zero and link like others; a null id ranks last.
     """
-    return simhash_dedup.dedup(docs)
+    return pack(simhash_dedup.dedup(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens and the digests of the empty string; repeated rows give a row each.
     """
-    return bpe.encode(docs, queries.vocabulary(), digest=True)
+    return pack(bpe.encode(docs, queries.vocabulary(), digest=True), shuffled=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, pack
 
 #: White space of the contracts: space and the controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -28,7 +28,7 @@ def running_totals(df: DataFrame, order: list[Column], value: Column, within: st
     ranged = df.withColumn("_v", value.cast("long"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = ranged.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    ranged = cut(ranged)
+    ranged = cut(pack(ranged))
     group = ["_pid"] + ([within] if within else [])
     totals = ranged.groupBy(*group).agg(F.sum("_v").alias("_total"))
     # One row for each partition (and value of ``within`` in it): bounded by the
@@ -70,7 +70,7 @@ def keep_rows(docs: DataFrame, id_col: str, key: Column, rows: DataFrame, stay:
     ``rows(id, key)`` has the names of all rows.  Rows that share id and key are equal for
     our purpose; only where a name occurs twice is the sort that picks one of them planned.
     """
-    stay = cut(stay.select(F.col("id").alias("_stay_id"), F.col("key").alias("_stay_key")))
+    stay = cut(pack(stay.select(F.col("id").alias("_stay_id"), F.col("key").alias("_stay_key"))))
     keyed = docs.withColumn("_row_key", key)
     match = keyed[id_col].cast("long").eqNullSafe(stay["_stay_id"]) & (keyed["_row_key"] == stay["_stay_key"])
     kept = keyed.join(stay, match, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import drop
-from .common import HOT_ROWS, cut, join_counted
+from .common import HOT_ROWS, cut, join_counted, pack
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def components(links: DataFrame) -> DataFrame:
     list of neighbours is never built.  Every round is written to the shared folder.  Nodes
     without a link are not in the result; an empty table gives no rows.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                .where("a <> b").distinct())
+    edges = cut(pack(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                     .where("a <> b").distinct()))
     n, seen = edges.count(), None
     while True:
         # Large star: every node hands its larger neighbours to its smallest one.

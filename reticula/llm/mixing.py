@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, cut, running_totals
+from .common import WORD_CLASS, cut, pack, running_totals
 
 WEIGHTS, DEMAND, REPEATS = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Slopes of the weight schedules, by rank of the source: later, even, earlier.
@@ -77,14 +77,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, demand: float =
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                        words(text).alias("size"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("row"))
-    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()))
+    rows = cut(pack(rows.withColumn("uid", F.monotonically_increasing_id()), shuffled=False))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, demand, repeats))
     order = [F.xxhash64("id", "row"), F.col("id").asc_nulls_last(), F.col("row")]
     placed = running_totals(rows, order, F.col("size"), within="source")
     placed = placed.alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     placed = placed.select("p.*", "source_size", "rank", "target", F.floor(share).cast("long").alias("rounds"))
-    placed = cut(placed.withColumn("gap", F.col("target") - F.col("rounds") * F.col("source_size")))
+    placed = cut(pack(placed.withColumn("gap", F.col("target") - F.col("rounds") * F.col("source_size"))))
     fits = (F.col("size") > 0) & (F.col("_before") + F.col("size") <= F.col("gap"))
     again = cut(placed.where(fits).select("source", "uid", "size"))
     step = 0
@@ -97,11 +97,11 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, demand: float =
         step += 1
         if step > FILLS:
             # The first in order of those that fit is taken, so each pass takes some while any fits.
-            free = cut(free)
+            free = cut(pack(free))
             if free.isEmpty():
                 break
         more = running_totals(free.select("source", "id", "row", "uid", "size", "open"), order, F.col("size"), within="source")
-        again = cut(again.union(more.where(F.col("_before") + F.col("size") <= F.col("open")).select("source", "uid", "size")))
+        again = cut(pack(again.union(more.where(F.col("_before") + F.col("size") <= F.col("open")).select("source", "uid", "size"))))
     placed = placed.join(again.select("uid", F.lit(1).alias("again")), "uid", "left").withColumn("copies", (F.col("rounds") + F.coalesce("again", F.lit(0))).cast("long"))
     tilt = F.element_at(F.array(*[F.lit(float(t)) for t in tilts]), (F.col("rank") % len(tilts) + 1).cast("int"))
     # Copy k starts when k whole passes over the source and the words before it are due.
@@ -121,13 +121,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows equal in id, text and source are interchangeable: one stands for each that is taken;
     null ids and sources match null ones; an empty table gives no rows.
     """
-    planned = cut(plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options))
+    planned = cut(pack(plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)))
     repeated = not planned.groupBy(id_col, "row", "source").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     taken = planned.where("copies > 0")
     # Rows equal in id, text and source are interchangeable: the n-th of them joins the n-th.
     number = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
     chosen = taken.select(F.col(id_col).alias("_mix_id"), F.col("row").alias("_mix_row"), F.col("source").alias("_mix_source"), "copies", "position", "last_position")
-    chosen = cut(chosen.withColumn("_mix_n", number(["_mix_id", "_mix_row", "_mix_source"])))
+    chosen = cut(pack(chosen.withColumn("_mix_n", number(["_mix_id", "_mix_row", "_mix_source"]))))
     keyed = docs.withColumn("_row_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_row_source", F.col(source_col).cast("string"))
     match = keyed[id_col].cast("long").eqNullSafe(chosen["_mix_id"]) & (keyed["_row_key"] == chosen["_mix_row"]) & keyed["_row_source"].eqNullSafe(chosen["_mix_source"])
     if repeated:  # only equal rows need numbers

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows
+from .common import cut, keep_rows, pack
 from .components import components
 from .tiles import HOME, forest, lay_tiles, run_tiles, stream_tiles
 
@@ -186,11 +186,11 @@ def _hot_tiles(keys: DataFrame, hot: DataFrame, block: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int, block: int) -> DataFrame:
     """id, row, fp, component (a fingerprint), component_id of every row."""
-    rows = cut(fingerprints(docs, id_col, text_col, width))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    rows = cut(pack(fingerprints(docs, id_col, text_col, width), shuffled=False))
+    classes = cut(pack(rows.groupBy("fp").agg(F.min("id").alias("least"))))
     parts = components(link_fingerprints(classes.select("fp"), distance, block))
-    named = cut(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-                .select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    named = cut(pack(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+                     .select("fp", "least", F.coalesce("component", "fp").alias("component"))))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
 
@@ -218,7 +218,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     Of rows with one id the one with the smaller text digest stays, of equal rows any
     one; a null id ranks last.
     """
-    found = cut(_grouped(docs, id_col, text_col, width, distance, block).withColumnRenamed("row", "key"))
+    found = cut(pack(_grouped(docs, id_col, text_col, width, distance, block).withColumnRenamed("row", "key")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     stay = found.groupBy("component").agg(first).select("first.id", "first.key")
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))

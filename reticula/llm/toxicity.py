@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import drop
-from .common import cut
+from .common import cut, pack
 
 #: Bound of the labelled rows that the model is fitted on (in hash order).
 SAMPLE_ROWS = 20_000
@@ -325,7 +325,7 @@ def _around(model: Model) -> Callable[[str], set[tuple[str, str]]]:
 def _learn_context(model: Model, sample: DataFrame) -> Model:
     """The other classes after the words around attacks: those the labels support come in, those they refute go."""
     counts = _tally(sample, _around(model)).groupBy("pattern").agg(F.sum("bad").alias("t"), F.sum("clean").alias("c"))
-    counts = cut(counts.withColumn("role", F.substring("pattern", 1, 1)))
+    counts = cut(pack(counts.withColumn("role", F.substring("pattern", 1, 1))))
     base = {r["role"]: (r["t"], r["c"]) for r in counts.where(F.substring("pattern", 2, 10) == "*").collect()}
     classes = {"n": set(model.negations), "r": set(model.reports), "a": set(model.targets)}
     chance = math.log(max(counts.count(), 2))
@@ -362,7 +362,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return Model({}, {}, (-3.0 if good else 3.0 if bad else -3.0, 0.0, 0.0))
-    counts = cut(_tally(sample, _patterns).groupBy("pattern").agg(F.least(F.count("before"), 2 * F.sum("bad")).alias("toxic"), F.sum("clean").alias("clean")))
+    counts = _tally(sample, _patterns).groupBy("pattern").agg(F.least(F.count("before"), 2 * F.sum("bad")).alias("toxic"), F.sum("clean").alias("clean"))
+    counts = cut(pack(counts))
     share = bad / (bad + good)
     chance = math.log(max(counts.count(), 2))  # about one pattern enters by chance
     t, c = F.col("toxic"), F.col("clean")

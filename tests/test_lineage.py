@@ -51,3 +51,27 @@ def test_cut_with_known_rows_writes_few_files(spark, monkeypatch):
     table = lineage.cut(df, rows=100)
     assert len(table.inputFiles()) == 3 and table.count() == 100
     assert lineage.cut(df.where("id < 0"), rows=0).count() == 0
+
+
+def test_small_tables_in_many_partitions_go_to_few_files(spark, monkeypatch):
+    table = lineage.cut(spark.range(400).repartition(100))
+    slots = lineage.SLOT_FILES * spark.sparkContext.defaultParallelism
+    scanned = table.selectExpr("id", "id % 40 AS k")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        grouped = scanned.groupBy("id").count()
+        assert len(lineage.cut(scanned).inputFiles()) > slots and len(lineage.cut(grouped).inputFiles()) > slots
+        for df, shuffled in ((scanned, False), (grouped, True)):
+            out = lineage.cut(lineage.pack(df, shuffled))
+            assert len(out.inputFiles()) <= slots and sorted(r.id for r in out.collect()) == list(range(400))
+        # Enough input for each partition: nothing changes.
+        monkeypatch.setattr(lineage, "FILE_BYTES", 1)
+        assert lineage.pack(grouped) is grouped and len(lineage.cut(lineage.pack(scanned, False)).inputFiles()) > slots
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k in ("adaptive.coalescePartitions.enabled", "files.maxPartitionBytes", "files.openCostInBytes"):
+            spark.conf.unset(f"spark.sql.{k}")
